@@ -46,6 +46,8 @@ FACT = np.dtype([("code", "<u8"), ("slot", "u1"), ("name", "u1"), ("ends", "u1")
 
 
 def fact(chunk: str) -> tuple[int, int, int, int, int]:
+    if chunk.isascii() and (word := chunk[:-1] if (end := chunk[-1:]) in (".", ",") else chunk).isalpha() and word.islower() and word not in UNITS:
+        return code(word), 0, 0, end == ".", 0
     core = EDGE.sub("", chunk)
     ends = chunk == "\n" or chunk.rstrip("\"')]”’")[-1:] in (".", "!", "?", ":")
     low = re.sub(r"[^\w$€£%]+", "", core.lower())
@@ -58,27 +60,27 @@ def fact(chunk: str) -> tuple[int, int, int, int, int]:
     return code(low), 0, core[0].isupper() and core[1:].islower(), ends, 0
 
 
-class Canon:
-    """Canonical tokens of texts, as arrays: template code, own code (the slot's value), slot or not."""
+class Canon(dict):
+    """Canonical tokens of texts, as arrays: template code, own code (the slot's value), slot or not.
+
+    As a dictionary it holds each chunk's row in `facts`; beyond `keep` chunks it starts anew.
+    """
 
     def __init__(self, keep: int = 700_000):
-        self.at: dict[str, int] = {}
-        self.facts = np.zeros(1 << 16, FACT)
-        self.keep = keep
+        self.facts, self.keep = np.zeros(1 << 16, FACT), keep
+
+    def __missing__(self, chunk: str) -> int:
+        k = self[chunk] = len(self)
+        if k >= len(self.facts):
+            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
+        self.facts[k] = fact(chunk)
+        return k
 
     def look(self, chunks: list[str]) -> np.ndarray:
-        if len(self.at) + len(chunks) > self.keep + 200_000:
-            self.at = {}
-        at, out = self.at, []
-        for c in chunks:
-            k = at.get(c)
-            if k is None:
-                k = at[c] = len(at)
-                if k >= len(self.facts):
-                    self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
-                self.facts[k] = fact(c)
-            out.append(k)
-        return self.facts[out]
+        if len(self) > self.keep:
+            self.clear()
+        rows = [self[c] for c in chunks]
+        return self.facts[rows]
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         f = self.look(text.replace("\n", " \n ").replace("\t", " ").replace("\r", " ").split(" "))

@@ -43,7 +43,6 @@ class Model:
         self.langs = sorted(counts)
         self.words: dict[str, np.ndarray] = {}
         self.grams: dict[str, np.ndarray] = {}
-        self.seen: dict[str, np.ndarray] = {}
         if not self.langs:
             return
         total = Counter()
@@ -75,31 +74,43 @@ class Model:
         logs -= logs.mean(axis=1, keepdims=True)
         return dict(zip(keys, logs.astype(np.float32), strict=True))
 
-    def vector(self, word: str, keep: int = 400_000) -> np.ndarray:
+    def vector(self, word: str) -> np.ndarray:
         v = self.words.get(word)
-        if v is None:
-            v = self.seen.get(word)
-        if v is None:
-            v = np.zeros(len(self.langs), np.float32)
-            for n in ORDERS:
-                if found := [g for g in map(self.grams.get, grams_of(word[:64], n)) if g is not None]:
-                    v = np.mean(found, axis=0)
-                    break
-            if len(self.seen) >= keep:
-                self.seen.clear()
-            self.seen[word] = v
-        return v
+        if v is not None:
+            return v
+        for n in ORDERS:
+            if found := [g for g in map(self.grams.get, grams_of(word, n)) if g is not None]:
+                return sum(found) / len(found)
+        return np.zeros(len(self.langs), np.float32)
+
+
+class Scorer(dict):
+    """A worker's words with their rows in `vectors`; beyond `keep` words it starts anew."""
+
+    def __init__(self, model: Model, keep: int = 400_000):
+        self.model, self.keep = model, keep
+        self.vectors = np.zeros((1 << 14, len(model.langs)), np.float32)
+
+    def __missing__(self, word: str) -> int:
+        k = len(self)
+        if k >= len(self.vectors):
+            self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
+        self.vectors[k] = self.model.vector(word)
+        self[word] = k
+        return k
 
     def predict(self, text: str) -> tuple[str, float]:
-        words = words_of(text) if self.langs else None
+        if len(self) > self.keep:
+            self.clear()
+        words = words_of(text) if self.model.langs else None
         if not words:
             return UND, 0.0
-        n = np.fromiter(words.values(), np.float32, len(words))
-        total = n @ np.array([self.vector(w) for w in words])
-        z = total * (min(EVIDENCE, n.sum()) / n.sum())
+        n = np.fromiter(words.values(), np.float64, len(words))
+        rows = [self[w] for w in words]
+        z = (n @ self.vectors[rows]) * (min(EVIDENCE, n.sum()) / n.sum())
         p = np.exp(z - z.max())
         k = int(p.argmax())
-        return self.langs[k], float(p[k] / p.sum())
+        return self.model.langs[k], float(p[k] / p.sum())
 
 
 def fit(docs: DataFrame, per_language: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_words: int = 60_000, max_grams: int = 100_000) -> Model:
@@ -131,8 +142,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_name: st
     at = docs.columns.index(text_col)
 
     def run(batches):
+        scorer = Scorer(held.value)
         for b in batches:
-            found = [held.value.predict(x) for x in text_list(b.column(at))]
+            found = [scorer.predict(x) for x in text_list(b.column(at))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*b.schema.names, lang_name, score_name])
 
     from pyspark.sql import types as T
@@ -147,7 +159,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs.select("doc_id", "text", (crc_mod("doc_id", 4) == 2).alias("held_out")), model).drop("text")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.4) -> DataFrame:
     """Keeps the documents whose language is recognised with a score of at least `least`."""
     model = fit(docs.where(crc_mod("doc_id", 4) != 2))
     found = predict(docs, model, lang_name="_lang_pred", score_name="_lang_score")

@@ -40,6 +40,19 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+class Chunks(dict):
+    """Chunk -> ids; what is missing is encoded, and kept unless it is long."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.make(chunk)
+        if len(chunk) <= 60:
+            self[chunk] = ids
+        return ids
+
+
 class WordIds:
     """Ids of whole texts, as little-endian unsigned integers of `width` bytes.
 
@@ -57,7 +70,7 @@ class WordIds:
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and splits == [("Split", "Removed", None), ("ByteLevel", None, False)] and not any(" " in x["content"] or "\n" in x["content"] for x in j["added_tokens"])
         self.special = re.compile("|".join(re.escape(x["content"]) for x in j["added_tokens"]) or r"(?!)")
         self.model, self.keep = self.tok.model, keep
-        self.known: dict[str, bytes] = {"": b""}
+        self.known = Chunks(self.chunk)
         self.pieces: dict[str, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
@@ -76,8 +89,6 @@ class WordIds:
             ids = b"".join(out)
         else:
             ids = self.packed(self.tok.encode(chunk, add_special_tokens=False).ids)
-        if len(chunk) <= 60:
-            self.known[chunk] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:
@@ -86,12 +97,10 @@ class WordIds:
         if not self.by_word:
             return self.packed(self.tok.encode(text, add_special_tokens=False).ids)
         if len(self.known) > self.keep or len(self.pieces) > self.keep:
-            self.known, self.pieces = {"": b""}, {}
-        get, new, out = self.known.get, self.chunk, []
-        for c in text.replace("\n", " ").split(" "):
-            ids = get(c)
-            out.append(new(c) if ids is None else ids)
-        return b"".join(out)
+            self.known.clear()
+            self.pieces.clear()
+        known = self.known
+        return b"".join([known[c] for c in text.replace("\n", " ").split(" ")])
 
 
 class PieceCounts:
