@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, packing, quality, token_counts, token_files
+from . import decontamination, jaccard_join, language_id, packing, quality, token_counts, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": token_counts.op1_token_counts,
         "op2_decontamination": decontamination.op2_decontamination,
+        "op4_jaccard_join": jaccard_join.op4_jaccard_join,
         "op6_token_files": token_files.op6_token_files,
         "op7_quality": quality.op7_quality,
         "op9_language_id": language_id.op9_language_id,
