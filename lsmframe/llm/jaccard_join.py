@@ -155,56 +155,63 @@ def as_pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], ["kind", "a", "b", "gram", "n", "pos", "sig"])
 
 
+def fresh(cls: np.ndarray) -> np.ndarray:
+    """Where a class differs from the row before it: other tasks may have named the same class."""
+    return np.array([k for k in range(len(cls)) if k == 0 or cls[k] != cls[k - 1]], np.int64)
+
+
 def small_groups(batches, num: int, den: int):
-    """Rows sorted by gram, pos, n, cls: pairs (kind 0) of shingles of at most SMALL classes, rows (kind 1) of larger ones."""
+    """Rows sorted by gram, pos, n, cls: pairs (kind 0) of shingles of at most SMALL classes, rows (kind 1) of larger ones.
+
+    Of an unfinished group it holds SMALL classes at most: a larger one's rows pass through at once.
+    """
     cols, large = None, None
 
-    def groups(c, lo: int, hi: int):
-        nonlocal large
+    def rows_of(c, lo: int, hi: int) -> pa.RecordBatch:
+        k = hi - lo
         gram, cls, n, pos, sig = (x[lo:hi] for x in c)
-        keep = [k for k in range(len(cls)) if k == 0 or cls[k] != cls[k - 1]]
-        if large == gram[0] or len(keep) > SMALL:
-            large = gram[0]
-            return [], [(cls[k], int(gram[k]), int(n[k]), int(pos[k]), int(sig[k])) for k in keep]
-        if len(keep) < 2:
-            return [], []
-        i, j = np.triu_indices(len(keep), 1)
-        k = np.array(keep)
-        i, j = k[i], k[j]
+        return pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.array(list(cls), pa.binary()), pa.nulls(k, pa.binary()), pa.array(gram), pa.array(n), pa.array(pos), pa.array(sig)], ["kind", "a", "b", "gram", "n", "pos", "sig"])
+
+    def pairs_of(c, lo: int, hi: int) -> list[tuple[bytes, bytes]]:
+        _, cls, n, pos, sig = (x[lo:hi] for x in c)
+        i, j = np.triu_indices(hi - lo, 1)
         ok = passing(n[i], pos[i], sig[i], n[j], pos[j], sig[j], num, den)
-        return [(cls[x], cls[y]) for x, y in zip(i[ok], j[ok], strict=True)], []
+        return list(zip(cls[i[ok]], cls[j[ok]], strict=True))
 
-    def out(pairs, rows):
-        if pairs:
-            yield as_pairs(pairs)
-        if rows:
-            c = list(zip(*rows, strict=True))
-            k = len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.array(c[0], pa.binary()), pa.nulls(k, pa.binary()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int64())], ["kind", "a", "b", "gram", "n", "pos", "sig"])
+    def bounds(c) -> np.ndarray:
+        return np.concatenate([[0], np.flatnonzero(np.diff(c[0])) + 1, [len(c[0])]])
+
+    def done(c, lo: int, hi: int, pairs: list):
+        """A group that has ended."""
+        kept = [x[lo:hi][fresh(c[1][lo:hi])] for x in c]
+        k = len(kept[0])
+        if large == kept[0][0] or k > SMALL:
+            yield rows_of(kept, 0, k)
+        elif k > 1:
+            pairs += pairs_of(kept, 0, k)
 
     for b in batches:
-        new = [b.column(0).to_numpy(zero_copy_only=False), np.array(b.column(1).to_pylist(), object), *(b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4))]
+        new = [b.column(0).to_numpy(zero_copy_only=False), np.array([*b.column(1).to_pylist(), None], object)[:-1], *(b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4))]
         cols = new if cols is None else [np.concatenate(x) for x in zip(cols, new, strict=True)]
-        at = np.concatenate([[0], np.flatnonzero(np.diff(cols[0])) + 1, [len(cols[0])]])
-        pairs, rows = [], []
-        sizes = np.diff(at)
-        for g in np.flatnonzero(sizes[:-1] > 1):
-            p, r = groups(cols, at[g], at[g + 1])
-            pairs += p
-            rows += r
-        if len(sizes) > 1 and sizes[0] == 1 and large == cols[0][0]:  # the end of a large one
-            rows += groups(cols, 0, 1)[1]
-        start = at[-2]
-        if at[-1] - start > SMALL * 4 or large == cols[0][start]:
-            p, r = groups(cols, start, at[-1] - 1)  # all but the last row, which tells the next batch where this one stands
-            pairs += p
-            rows += r
-            if large == cols[0][start]:
-                start = at[-1] - 1
-        cols = [x[start:] for x in cols]
-        yield from out(pairs if large != cols[0][0] else pairs, rows)
+        if not len(cols[0]):
+            continue
+        at, pairs = bounds(cols), []
+        for g in np.flatnonzero((np.diff(at)[:-1] > 1) | (cols[0][at[:-2]] == large if large is not None else False)):
+            yield from done(cols, at[g], at[g + 1], pairs)
+        cols = [x[at[-2] :] for x in cols]
+        cols = [x[fresh(cols[1])] for x in cols]
+        if len(cols[0]) > SMALL or large == cols[0][0]:
+            large = cols[0][0]
+            if len(cols[0]) > 1:  # the last row stays, to know it again in the next batch
+                yield rows_of(cols, 0, len(cols[0]) - 1)
+            cols = [x[-1:] for x in cols]
+        if pairs:
+            yield as_pairs(pairs)
     if cols is not None and len(cols[0]):
-        yield from out(*groups(cols, 0, len(cols[0])))
+        pairs = []
+        yield from done(cols, 0, len(cols[0]), pairs)
+        if pairs:
+            yield as_pairs(pairs)
 
 
 def large_groups(batches, tested: int, first: int, num: int, den: int):

@@ -186,3 +186,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that are left, packed with the query's parameters."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path(TOKENIZER))
