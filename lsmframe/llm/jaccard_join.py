@@ -5,7 +5,7 @@
    size is fixed, so it is collected and broadcast. It orders shingles rare first; any order gives right results.
 2. A class's prefix is its first n - ceil(t n) + 1 shingles in that order. Linked classes share a prefix shingle, so prefix
    rows are dealt by shingle. Within a shingle, pairs pass the length filter, the positional filter and the suffix filter
-   (numbers of shingles in eight hash ranges bound the symmetric difference from below).
+   (numbers of shingles in sixteen hash ranges bound the symmetric difference from below).
 3. Candidate pairs are made distinct and verified on whole sets.
 4. A shingle that more than SMALL classes share, as in large groups of near copies, isn't expanded into all pairs. In rounds
    its first 1, 8, 64, ... classes, those with the fewest rarer shingles first, are compared with all others, but only
@@ -34,35 +34,66 @@ BITS = 1 << 23
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Words(dict):
-    """Rows of words in a table of their hashes; beyond `keep` words it starts anew."""
+def odd_inverse(x: int) -> int:
+    y = x
+    for _ in range(6):
+        y = y * (2 - x * y) % (1 << 64)
+    return y
 
-    def __init__(self, keep: int = 500_000):
-        self.codes, self.keep = np.zeros(1 << 16, np.uint64), keep
 
-    def __missing__(self, word: bytes) -> int:
-        k = self[word] = len(self)
-        if k >= len(self.codes):
-            self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)])
-        self.codes[k] = xxhash.xxh64_intdigest(word)
-        return k
+BASE = 0x9E3779B97F4A7C15 | 5
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: A random 64-bit value for each byte, A-Z as a-z.
+_VALUES = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64, endpoint=False)
+_VALUES[65:91] = _VALUES[97:123]
+
+
+def powers(x: int, n: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, x, np.uint64)]), dtype=np.uint64)
+
+
+class Words:
+    """Hashes of words and shingles of a text, in a few passes over its bytes.
+
+    A word's hash is a polynomial in BASE over its bytes' values, a difference of running sums divided by a power of BASE,
+    which is odd and so has an inverse modulo 2^64. The tables of powers grow with the longest text.
+    """
+
+    def __init__(self, size: int = 1 << 15):
+        self.grow(size)
+
+    def grow(self, size: int) -> None:
+        self.up, self.down = powers(BASE, size), powers(odd_inverse(BASE), size)
+
+    def hashes(self, text: str | None) -> np.ndarray:
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        if len(raw) > len(self.up):
+            self.grow(2 * len(raw))
+        word = np.concatenate([[False], ~_SPACE[raw], [False]])
+        edges = np.flatnonzero(word[1:] != word[:-1])
+        start, end = edges[::2], edges[1::2]
+        with np.errstate(over="ignore"):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[raw] * self.up[: len(raw)], dtype=np.uint64)])
+            h = (total[end] - total[start]) * self.down[start] + (end - start).astype(np.uint64)
+            h = (h ^ (h >> np.uint64(32))) * MIX
+        return h ^ (h >> np.uint64(29))
 
     def shingles(self, text: str | None, size: int) -> np.ndarray:
-        """Sorted distinct hashes of `size` words in a row; of the whole sequence, if there are fewer."""
-        if len(self) > self.keep:
-            self.clear()
-        words = (text or "").encode().lower().split()  # bytes: lower-cases A-Z only, splits at \x20 and \x09 to \x0D
-        if not words:
-            return np.zeros(0, np.uint64)
-        rows = [self[w] for w in words]
-        codes, n = self.codes[rows], min(size, len(words))
+        """Sorted distinct hashes of `size` words in a row; of the whole sequence, if there are fewer. Words are split at
+        \\x20 and \\x09 to \\x0D, and A-Z count as a-z."""
+        codes = self.hashes(text)
+        if not len(codes):
+            return codes
+        n = min(size, len(codes))
         m = len(codes) - n + 1
         out = np.full(m, n, np.uint64)
         with np.errstate(over="ignore"):
             for k in range(n):
                 out = (out ^ codes[k : k + m]) * MIX
                 out ^= out >> np.uint64(29)
-        return np.unique(out)
+        out.sort()
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -73,9 +104,9 @@ def slots(s: np.ndarray) -> np.ndarray:
     return ((s >> np.uint64(20)) & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
-def signature(s: np.ndarray) -> int:
-    """Numbers of shingles in eight ranges of the hash, modulo 256 each, in one signed 64-bit integer."""
-    return int((np.bincount((s >> np.uint64(61)).astype(np.int64), minlength=8) & 255).astype(np.uint8).view("<i8")[0])
+def signature(s: np.ndarray) -> tuple[int, int]:
+    """Numbers of shingles in sixteen ranges of the hash, modulo 256 each, in two signed 64-bit integers."""
+    return tuple((np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=16) & 255).astype(np.uint8).view("<i8").tolist())
 
 
 def describe(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
@@ -112,7 +143,7 @@ def levels(counts: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, size: int, level: np.ndarray, num: int, den: int) -> DataFrame:
-    """(gram, cls, n, pos, sig): the prefix shingles of every class, pos counting from 1; each task names a class once."""
+    """(gram, cls, n, pos, sig, sig2): the prefix shingles of every class, pos counting from 1; a task names a class once."""
     held = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches):
@@ -126,120 +157,138 @@ def prefixes(docs: DataFrame, size: int, level: np.ndarray, num: int, den: int)
                 seen.add(cls)
                 n = len(s)
                 p = n - -(-num * n // den) + 1
-                first = s[np.lexsort((s, held.value[slots(s)]))[:p]]
-                out.append((first, cls, n, signature(s)))
+                out.append((s[np.lexsort((s, held.value[slots(s)]))[:p]], cls, n, *signature(s)))
             if out:
                 sizes = [len(o[0]) for o in out]
                 rep = lambda k, t, sizes=sizes, out=out: np.repeat(np.array([o[k] for o in out], t), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out]).view(np.int64)), pa.array([o[1] for o, m in zip(out, sizes, strict=True) for _ in range(m)], pa.binary()), pa.array(rep(2, np.int32)), pa.array(np.concatenate([np.arange(1, m + 1, dtype=np.int32) for m in sizes])), pa.array(rep(3, np.int64))], ["gram", "cls", "n", "pos", "sig"])
+                cls = np.repeat(np.frombuffer(b"".join([o[1] for o in out]), np.int64).reshape(-1, 2), sizes, axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out]).view(np.int64)), named(cls), pa.array(rep(2, np.int32)), pa.array(np.concatenate([np.arange(1, m + 1, dtype=np.int32) for m in sizes])), pa.array(rep(3, np.int64)), pa.array(rep(4, np.int64))], ["gram", *ROW])
+
+    return docs.mapInArrow(run, "gram long, cls binary, n int, pos int, sig long, sig2 long")
 
-    return docs.mapInArrow(run, "gram long, cls binary, n int, pos int, sig long")
+
+ROW = ["cls", "n", "pos", "sig", "sig2"]
+PAIR = "kind int, a binary, b binary, gram long, n int, pos int, sig long, sig2 long"
+NAMES = ["kind", "a", "b", "gram", "n", "pos", "sig", "sig2"]
+
+
+def named(cls: np.ndarray) -> pa.Array:
+    """Class names from pairs of 64-bit integers."""
+    return pa.Array.from_buffers(pa.binary(16), len(cls), [None, pa.py_buffer(np.ascontiguousarray(cls).tobytes())]).cast(pa.binary())
+
+
+def unnamed(column: pa.Array) -> np.ndarray:
+    """Class names, 16 bytes each, as pairs of 64-bit integers."""
+    fixed = column.cast(pa.binary(16))
+    return np.frombuffer(fixed.buffers()[1], np.int64, 2 * len(fixed), 16 * fixed.offset).reshape(-1, 2) if len(fixed) else np.zeros((0, 2), np.int64)
 
 
 def passing(n, pos, sig, n2, pos2, sig2, num: int, den: int) -> np.ndarray:
-    """Length, positional and suffix filter for arrays of pairs that share a shingle at pos and pos2."""
+    """Length, positional and suffix filter for arrays of pairs that share a shingle at pos and pos2; sig: k by 2."""
     n, n2, pos, pos2 = (np.asarray(x, np.int64) for x in (n, n2, pos, pos2))
     need = -(-num * (n + n2) // (num + den))
     ok = (den * np.minimum(n, n2) >= num * np.maximum(n, n2)) & (1 + np.minimum(n - pos, n2 - pos2) >= need)
-    a, b = (np.atleast_1d(np.asarray(x, np.int64)).view(np.uint8).reshape(-1, 8).astype(np.int64) for x in (sig, sig2))
+    at = np.flatnonzero(ok)
+    a, b = (np.ascontiguousarray(x[at]).view(np.uint8).reshape(-1, 16).astype(np.int16) for x in (sig, sig2))
     apart = np.abs(a - b)
-    return ok & (np.minimum(apart, 256 - apart).sum(axis=1) <= n + n2 - 2 * need)
+    ok[at] = np.minimum(apart, 256 - apart).sum(axis=1) <= (n + n2 - 2 * need)[at]
+    return ok
 
 
-PAIR = "kind int, a binary, b binary, gram long, n int, pos int, sig long"
+def as_pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    swap = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
+    k, none = len(a), lambda t: pa.nulls(len(a), t)
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), named(np.where(swap[:, None], b, a)), named(np.where(swap[:, None], a, b)), none(pa.int64()), none(pa.int32()), none(pa.int32()), none(pa.int64()), none(pa.int64())], NAMES)
 
 
-def as_pairs(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    a, b = [min(x) for x in found], [max(x) for x in found]
-    k = len(found)
-    return pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], ["kind", "a", "b", "gram", "n", "pos", "sig"])
+def as_rows(c: dict[str, np.ndarray]) -> pa.RecordBatch:
+    k = len(c["gram"])
+    return pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), named(c["cls"]), pa.nulls(k, pa.binary()), pa.array(c["gram"]), pa.array(c["n"]), pa.array(c["pos"]), *(pa.array(np.ascontiguousarray(c["sig"][:, j])) for j in (0, 1))], NAMES)
 
 
-def fresh(cls: np.ndarray) -> np.ndarray:
-    """Where a class differs from the row before it: other tasks may have named the same class."""
-    return np.array([k for k in range(len(cls)) if k == 0 or cls[k] != cls[k - 1]], np.int64)
+def columns(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+    gram, n, pos, s1, s2 = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3, 4, 5))
+    return {"gram": gram, "cls": unnamed(b.column(1)), "n": n, "pos": pos, "sig": np.stack([s1, s2], axis=1)}
+
+
+def take(c: dict, rows) -> dict:
+    return {k: v[rows] for k, v in c.items()}
+
+
+def fresh(c: dict) -> dict:
+    """Without rows that name the gram and class of the row before them: other tasks may have named the same class."""
+    again = (c["gram"][1:] == c["gram"][:-1]) & (c["cls"][1:] == c["cls"][:-1]).all(axis=1)
+    return take(c, np.concatenate([[True], ~again])) if again.any() else c
 
 
 def small_groups(batches, num: int, den: int):
     """Rows sorted by gram, pos, n, cls: pairs (kind 0) of shingles of at most SMALL classes, rows (kind 1) of larger ones.
 
-    Of an unfinished group it holds SMALL classes at most: a larger one's rows pass through at once.
+    Of an unfinished group it holds SMALL classes at most: a larger one's rows pass through at once. Groups that have ended
+    are compared together, row by row with the rows 1, 2, ... places on.
     """
-    cols, large = None, None
-
-    def rows_of(c, lo: int, hi: int) -> pa.RecordBatch:
-        k = hi - lo
-        gram, cls, n, pos, sig = (x[lo:hi] for x in c)
-        return pa.RecordBatch.from_arrays([pa.array([1] * k, pa.int32()), pa.array(list(cls), pa.binary()), pa.nulls(k, pa.binary()), pa.array(gram), pa.array(n), pa.array(pos), pa.array(sig)], ["kind", "a", "b", "gram", "n", "pos", "sig"])
-
-    def pairs_of(c, lo: int, hi: int) -> list[tuple[bytes, bytes]]:
-        _, cls, n, pos, sig = (x[lo:hi] for x in c)
-        i, j = np.triu_indices(hi - lo, 1)
-        ok = passing(n[i], pos[i], sig[i], n[j], pos[j], sig[j], num, den)
-        return list(zip(cls[i[ok]], cls[j[ok]], strict=True))
-
-    def bounds(c) -> np.ndarray:
-        return np.concatenate([[0], np.flatnonzero(np.diff(c[0])) + 1, [len(c[0])]])
-
-    def done(c, lo: int, hi: int, pairs: list):
-        """A group that has ended."""
-        kept = [x[lo:hi][fresh(c[1][lo:hi])] for x in c]
-        k = len(kept[0])
-        if large == kept[0][0] or k > SMALL:
-            yield rows_of(kept, 0, k)
-        elif k > 1:
-            pairs += pairs_of(kept, 0, k)
+    held, large = None, None
+
+    def ended(c: dict):
+        if not len(c["gram"]):
+            return
+        g = c["gram"]
+        first = np.concatenate([[True], g[1:] != g[:-1]])
+        size = np.diff(np.append(np.flatnonzero(first), len(g)))[np.cumsum(first) - 1]
+        big = (size > SMALL) | (g == large if large is not None else False)
+        if big.any():
+            yield as_rows(take(c, big))
+        c = take(c, ~big & (size > 1))
+        g = c["gram"]
+        for lag in range(1, SMALL):
+            at = np.flatnonzero(g[lag:] == g[:-lag])
+            if not len(at):
+                break
+            i, j = at, at + lag
+            ok = passing(c["n"][i], c["pos"][i], c["sig"][i], c["n"][j], c["pos"][j], c["sig"][j], num, den)
+            if ok.any():
+                yield as_pairs(c["cls"][i[ok]], c["cls"][j[ok]])
 
     for b in batches:
-        new = [b.column(0).to_numpy(zero_copy_only=False), np.array([*b.column(1).to_pylist(), None], object)[:-1], *(b.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4))]
-        cols = new if cols is None else [np.concatenate(x) for x in zip(cols, new, strict=True)]
-        if not len(cols[0]):
+        if not len(b):
             continue
-        at, pairs = bounds(cols), []
-        for g in np.flatnonzero((np.diff(at)[:-1] > 1) | (cols[0][at[:-2]] == large if large is not None else False)):
-            yield from done(cols, at[g], at[g + 1], pairs)
-        cols = [x[at[-2] :] for x in cols]
-        cols = [x[fresh(cols[1])] for x in cols]
-        if len(cols[0]) > SMALL or large == cols[0][0]:
-            large = cols[0][0]
-            if len(cols[0]) > 1:  # the last row stays, to know it again in the next batch
-                yield rows_of(cols, 0, len(cols[0]) - 1)
-            cols = [x[-1:] for x in cols]
-        if pairs:
-            yield as_pairs(pairs)
-    if cols is not None and len(cols[0]):
-        pairs = []
-        yield from done(cols, 0, len(cols[0]), pairs)
-        if pairs:
-            yield as_pairs(pairs)
+        new = columns(b)
+        c = fresh(new if held is None else {k: np.concatenate([held[k], new[k]]) for k in new})
+        start = int(np.searchsorted(c["gram"], c["gram"][-1]))
+        yield from ended(take(c, slice(0, start)))
+        held = take(c, slice(start, None))
+        if len(held["gram"]) > SMALL or large == held["gram"][0]:
+            large = held["gram"][0]
+            if len(held["gram"]) > 1:  # the last row stays, to know it again in the next batch
+                yield as_rows(take(held, slice(0, -1)))
+            held = take(held, slice(-1, None))
+    if held is not None:
+        yield from ended(held)
 
 
 def large_groups(batches, tested: int, first: int, num: int, den: int):
-    """Rows (gram, cls, n, pos, sig, comp) sorted by gram, pos, n, cls: pairs of those at ranks tested..first-1 with all later
-    ones of another component."""
-    gram, rank, last, held = None, 0, None, []
+    """Rows (gram, cls, n, pos, sig, sig2, comp) sorted by gram, pos, n, cls: pairs of those at ranks tested..first-1 of
+    their gram with all later ones of another component."""
+    gram, rank, last, pivots = None, 0, None, []
     for b in batches:
-        found = []
-        for g, cls, n, pos, sig, comp in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
-            if g != gram:
-                gram, rank, last, held = g, 0, None, []
-                arrays = None
-            if cls == last:
-                continue
-            last = cls
-            if held:
-                if arrays is None or len(arrays[0]) != len(held):
-                    arrays = [np.array([h[k] for h in held], np.int64) for k in (1, 2, 3)]
-                ok = passing(*arrays, np.int64(n), np.int64(pos), np.full(len(held), sig, np.int64), num, den)
-                found += [(held[k][0], cls) for k in np.flatnonzero(ok) if held[k][4] != comp and held[k][0] != cls]
-            if tested <= rank < first:
-                held.append((cls, n, pos, sig, comp))
-            rank += 1
-            if len(found) > 5000:
-                yield as_pairs(found)
-                found = []
-        if found:
-            yield as_pairs(found)
+        c = columns(b) | {"comp": unnamed(b.column(6))}
+        if not len(c["gram"]):
+            continue
+        at = np.concatenate([[0], np.flatnonzero(np.diff(c["gram"])) + 1, [len(b)]])
+        for lo, hi in zip(at[:-1], at[1:], strict=True):
+            g = take(c, slice(lo, hi))
+            if g["gram"][0] != gram:
+                gram, rank, last, pivots = g["gram"][0], 0, None, []
+            differ = np.concatenate([[last is None or (g["cls"][0] != last).any()], (g["cls"][1:] != g["cls"][:-1]).any(axis=1)])
+            g, last = take(g, differ), g["cls"][-1]
+            ranks = rank + np.arange(len(g["gram"]))
+            pivots += [(int(r), take(g, slice(k, k + 1))) for k, r in enumerate(ranks) if tested <= r < first]
+            rank += len(ranks)
+            for r, p in pivots:
+                ok = passing(p["n"], p["pos"], p["sig"].repeat(len(ranks), axis=0), g["n"], g["pos"], g["sig"], num, den) if len(ranks) else np.zeros(0, bool)
+                ok &= (ranks > r) & (g["comp"] != p["comp"]).any(axis=1) & (g["cls"] != p["cls"]).any(axis=1)
+                if ok.any():
+                    yield as_pairs(p["cls"].repeat(ok.sum(), axis=0), g["cls"][ok])
 
 
 def members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -304,7 +353,7 @@ def linked_classes(docs: DataFrame, size: int, num: int, den: int) -> tuple[Data
     dealt = prefixes(docs, size, levels(counts), num, den).repartition("gram").sortWithinPartitions("gram", "pos", "n", "cls")
     found = written(dealt.mapInArrow(lambda it: small_groups(it, num, den), PAIR), "candidates")
     pairs = found.where("kind = 0").select("a", "b")
-    large = found.where("kind = 1").select("gram", F.col("a").alias("cls"), "n", "pos", "sig")
+    large = found.where("kind = 1").select("gram", F.col("a").alias("cls"), "n", "pos", "sig", "sig2")
     wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(large.select("cls")).distinct()
     sets = members(docs, wanted, size)
     links = verified(pairs, sets, num, den)
@@ -316,7 +365,7 @@ def linked_classes(docs: DataFrame, size: int, num: int, den: int) -> tuple[Data
         large = written(marked.join(open_, "gram", "left_semi"), "large")
         if large.isEmpty():
             return rows, labels
-        order = large.select("gram", "cls", "n", "pos", "sig", "comp").repartition("gram").sortWithinPartitions("gram", "pos", "n", "cls")
+        order = large.select("gram", "cls", "n", "pos", "sig", "sig2", "comp").repartition("gram").sortWithinPartitions("gram", "pos", "n", "cls")
         more = order.mapInArrow(lambda it, t=tested, f=first: large_groups(it, t, f, num, den), PAIR)
         links = written(links.unionByName(verified(more, sets, num, den)), "links")
         labels = components(links)
