@@ -367,8 +367,10 @@ def linked_classes(docs: DataFrame, size: int, num: int, den: int) -> tuple[Data
             return rows, labels
         order = large.select("gram", "cls", "n", "pos", "sig", "sig2", "comp").repartition("gram").sortWithinPartitions("gram", "pos", "n", "cls")
         more = order.mapInArrow(lambda it, t=tested, f=first: large_groups(it, t, f, num, den), PAIR)
-        links = written(links.unionByName(verified(more, sets, num, den)), "links")
-        labels = components(links)
+        new = verified(more, sets, num, den)
+        if not new.isEmpty():
+            links = written(links.unionByName(new), "links")
+            labels = components(links)
         large = large.drop("comp")
         tested, first = first, first * GROWTH
 
