@@ -6,9 +6,9 @@
 2. A class's prefix is its first n - ceil(t n) + 1 shingles in that order. Linked classes share a prefix shingle, so prefix
    rows are dealt by shingle. Within a shingle, pairs pass the length filter, the positional filter and the suffix filter
    (numbers of shingles in sixteen hash ranges bound the symmetric difference from below).
-3. Candidate pairs are made distinct and verified on whole sets.
+3. Candidate pairs are made distinct, pass the suffix filter on 256 ranges and are verified on whole sets.
 4. A shingle that more than SMALL classes share, as in large groups of near copies, isn't expanded into all pairs. In rounds
-   its first 1, 8, 64, ... classes, those with the fewest rarer shingles first, are compared with all others, but only
+   its first 1, 8, 1024, ... classes, those with the fewest rarer shingles first, are compared with all others, but only
    across components: a pair already connected by links can't change the components. Rounds go on until no shingle has
    classes of two components left uncompared, so no link between components is lost, and nothing is capped.
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-SLOTS, SMALL, GROWTH = 1 << 17, 16, 8
+SLOTS, SMALL, FIRST, GROWTH = 1 << 17, 16, (1, 8, 1024), 32
 BITS = 1 << 23
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -266,49 +266,53 @@ def small_groups(batches, num: int, den: int):
         yield from ended(held)
 
 
-def large_groups(batches, tested: int, first: int, num: int, den: int):
+def large_groups(batches, tested: int, first: int, num: int, den: int, block: int = 1 << 18):
     """Rows (gram, cls, n, pos, sig, sig2, comp) sorted by gram, pos, n, cls: pairs of those at ranks tested..first-1 of
-    their gram with all later ones of another component."""
-    gram, rank, last, pivots = None, 0, None, []
+    their gram with all later ones of another component. It holds `first` rows and compares `block` pairs at a time."""
+    gram, rank, last, pivots = None, 0, None, None
     for b in batches:
-        c = columns(b) | {"comp": unnamed(b.column(6))}
-        if not len(c["gram"]):
+        if not len(b):
             continue
+        c = columns(b) | {"comp": unnamed(b.column(6))}
         at = np.concatenate([[0], np.flatnonzero(np.diff(c["gram"])) + 1, [len(b)]])
         for lo, hi in zip(at[:-1], at[1:], strict=True):
             g = take(c, slice(lo, hi))
             if g["gram"][0] != gram:
-                gram, rank, last, pivots = g["gram"][0], 0, None, []
-            differ = np.concatenate([[last is None or (g["cls"][0] != last).any()], (g["cls"][1:] != g["cls"][:-1]).any(axis=1)])
-            g, last = take(g, differ), g["cls"][-1]
-            ranks = rank + np.arange(len(g["gram"]))
-            pivots += [(int(r), take(g, slice(k, k + 1))) for k, r in enumerate(ranks) if tested <= r < first]
-            rank += len(ranks)
-            for r, p in pivots:
-                ok = passing(p["n"], p["pos"], p["sig"].repeat(len(ranks), axis=0), g["n"], g["pos"], g["sig"], num, den) if len(ranks) else np.zeros(0, bool)
-                ok &= (ranks > r) & (g["comp"] != p["comp"]).any(axis=1) & (g["cls"] != p["cls"]).any(axis=1)
+                gram, rank, last, pivots = g["gram"][0], 0, None, None
+            new = np.concatenate([[last is None or (g["cls"][0] != last).any()], (g["cls"][1:] != g["cls"][:-1]).any(axis=1)])
+            last, g = g["cls"][-1], take(g, new)
+            g["rank"] = rank + np.arange(len(g["gram"]))
+            rank += len(g["gram"])
+            own = take(g, (g["rank"] >= tested) & (g["rank"] < first))
+            pivots = own if pivots is None else {k: np.concatenate([pivots[k], own[k]]) for k in own} if len(own["gram"]) else pivots
+            rows = len(g["gram"])
+            for k in range(0, len(pivots["gram"]) if rows else 0, step := max(1, block // max(1, rows))):
+                p = take(pivots, slice(k, k + step))
+                i, j = np.nonzero((p["rank"][:, None] < g["rank"]) & ((p["comp"][:, None, 0] != g["comp"][:, 0]) | (p["comp"][:, None, 1] != g["comp"][:, 1])))
+                ok = passing(p["n"][i], p["pos"][i], p["sig"][i], g["n"][j], g["pos"][j], g["sig"][j], num, den)
                 if ok.any():
-                    yield as_pairs(p["cls"].repeat(ok.sum(), axis=0), g["cls"][ok])
+                    yield as_pairs(p["cls"][i[ok]], g["cls"][j[ok]])
 
 
 def members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(cls, n, shingles) of the classes in `wanted`. A bitmap of BITS bits, of fixed size, spares the others the shuffle."""
+    """(cls, n, ranges, shingles) of the classes in `wanted`, and of few others: a bitmap of BITS bits, of fixed size, spares
+    most others the shuffle. ranges: numbers of shingles in 256 ranges of the hash, modulo 256."""
     spark = docs.sparkSession
     k = F.conv(F.hex(F.substring("cls", 1, 4)), 16, 10).cast("long") % BITS
     words = wanted.select((k / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(conv(hex(substring(cls, 1, 4)), 16, 10) as bigint) % {BITS} % 64)").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     bits = np.zeros(BITS // 64, np.int64)
     bits[words["word"].to_numpy(int)] = words["bits"].to_numpy(np.int64)
-    held = spark.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little"))
+    held = spark.sparkContext.broadcast(bits)
 
     def run(batches):
-        words, seen = Words(), set()
+        words, seen, found = Words(), set(), np.unpackbits(held.value.view(np.uint8), bitorder="little")
         for b in batches:
             out = []
             for x in b.column(1):
                 s = words.shingles(x.as_py(), size)
-                if len(s) and held.value[int.from_bytes((cls := digest(s))[:4], "big") % BITS] and cls not in seen:
+                if len(s) and found[int.from_bytes((cls := digest(s))[:4], "big") % BITS] and cls not in seen:
                     seen.add(cls)
-                    out.append((cls, len(s), s.view(np.int64)))
+                    out.append((cls, len(s), (np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 255).astype(np.uint8).tobytes(), s.view(np.int64)))
                 if len(out) >= 256:
                     yield batch(out)
                     out = []
@@ -317,16 +321,31 @@ def members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def batch(out):
         ends = np.cumsum([0, *(o[1] for o in out)])
-        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([o[2] for o in out])))], ["cls", "n", "shingles"])
+        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([o[3] for o in out])))], ["cls", "n", "ranges", "shingles"])
+
+    return written(docs.mapInArrow(run, "cls binary, n long, ranges binary, shingles array<long>").dropDuplicates(["cls"]), "sets")
+
+
+def near_enough(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The distinct pairs that pass the suffix filter on 256 ranges, for which no shingles are moved."""
+
+    def run(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b.column(k).cast(pa.binary(256)).buffers()[1], np.uint8, 256 * len(b), 256 * b.column(k).offset).reshape(-1, 256).astype(np.int16) if len(b) else np.zeros((0, 256), np.int16) for k in (2, 3))
+            n = b.column(4).to_numpy(zero_copy_only=False)
+            apart = np.abs(x - y)
+            ok = np.minimum(apart, 256 - apart).sum(axis=1) <= n - 2 * -(-num * n // (num + den))
+            yield b.select(["a", "b"]).filter(pa.array(ok))
 
-    found = docs.mapInArrow(run, "cls binary, n long, shingles array<long>").join(wanted, "cls", "left_semi")
-    return written(found.dropDuplicates(["cls"]), "sets")
+    a, b = (sets.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("ranges").alias(f"r_{x}")) for x in "ab")
+    both = pairs.select("a", "b").distinct().join(a, "a").join(b, "b").select("a", "b", "r_a", "r_b", (F.col("n_a") + F.col("n_b")).alias("n"))
+    return written(both.mapInArrow(run, "a binary, b binary"), "near")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The distinct pairs whose sets reach the threshold."""
     a, b = (sets.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab")
-    both = pairs.select("a", "b").distinct().join(a, "a").join(b, "b").withColumn("same", F.size(F.array_intersect("s_a", "s_b")))
+    both = near_enough(pairs, sets, num, den).join(a, "a").join(b, "b").withColumn("same", F.size(F.array_intersect("s_a", "s_b")))
     return written(both.where(F.col("same") * (num + den) >= (F.col("n_a") + F.col("n_b")) * num).select("a", "b"), "links")
 
 
@@ -358,8 +377,9 @@ def linked_classes(docs: DataFrame, size: int, num: int, den: int) -> tuple[Data
     sets = members(docs, wanted, size)
     links = verified(pairs, sets, num, den)
     labels = components(links)
-    tested, first = 0, 1
+    tested, turn = 0, 0
     while True:
+        first = FIRST[turn] if turn < len(FIRST) else tested * GROWTH
         marked = large.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         open_ = marked.groupBy("gram").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where((F.col("lo") != F.col("hi")) & (F.col("m") > tested + 1)).select("gram")
         large = written(marked.join(open_, "gram", "left_semi"), "large")
@@ -372,7 +392,7 @@ def linked_classes(docs: DataFrame, size: int, num: int, den: int) -> tuple[Data
             links = written(links.unionByName(new), "links")
             labels = components(links)
         large = large.drop("comp")
-        tested, first = first, first * GROWTH
+        tested, turn = first, turn + 1
 
 
 def join_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
