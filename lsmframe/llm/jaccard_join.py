@@ -109,31 +109,50 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return tuple((np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=16) & 255).astype(np.uint8).view("<i8").tolist())
 
 
-def describe(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
-    """(id, n, cls) of every row, and the shingle counts of all rows by slot."""
+def text_hash(text: str | None) -> int:
+    """A signed 64-bit hash of a text, far cheaper than its shingles."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest((text or "").encode())).view(np.int64))
+
+
+def ranges(s: np.ndarray) -> bytes:
+    """Numbers of shingles in 256 ranges of the hash, modulo 256 each."""
+    return (np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 255).astype(np.uint8).tobytes()
+
+
+def describe(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(id, n, cls) of every row; (cls, n, hash, ranges) of every class, hash being one of its texts'; and the shingle
+    counts of all rows by slot. A task names a class's ranges once."""
     kind = docs.schema["id"].dataType.simpleString()
+    names = ["id", "n", "cls", "hash", "ranges", "slot", "total"]
 
     def run(batches):
-        words, counts, id_type = Words(), np.zeros(SLOTS, np.int64), None
-        names = ["id", "n", "cls", "slot", "total"]
+        words, counts, id_type, seen = Words(), np.zeros(SLOTS, np.int64), pa.int64(), set()
         for b in batches:
             id_type = b.schema.field(0).type
-            n, cls = [], []
+            n, cls, hashes, bins = [], [], [], []
             for x in b.column(1):
-                s = words.shingles(x.as_py(), size)
+                text = x.as_py()
+                s = words.shingles(text, size)
+                name = digest(s) if len(s) else None
                 n.append(len(s))
-                cls.append(digest(s) if len(s) else None)
-                counts += np.bincount(slots(s), minlength=SLOTS)
+                cls.append(name)
+                first = name is not None and name not in seen
+                hashes.append(text_hash(text) if first else None)
+                bins.append(ranges(s) if first else None)
+                seen.add(name)
+                np.add.at(counts, slots(s), 1)
             nothing = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), nothing, nothing], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(hashes, pa.int64()), pa.array(bins, pa.binary()), nothing, nothing], names)
         if len(at := np.flatnonzero(counts)):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), id_type), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.binary()), pa.array(at), pa.array(counts[at])], names)
+            none = [pa.nulls(len(at), t) for t in (id_type, pa.int64(), pa.binary(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(at), pa.array(counts[at])], names)
 
-    all_rows = written(docs.mapInArrow(run, f"id {kind}, n long, cls binary, slot long, total long"), "classes")
+    all_rows = written(docs.mapInArrow(run, f"id {kind}, n long, cls binary, hash long, ranges binary, slot long, total long"), "rows")
     counts = np.zeros(SLOTS, np.int64)
     got = all_rows.where("slot is not null").groupBy("slot").agg(F.sum("total").alias("total")).toPandas()
     counts[got["slot"].to_numpy(int)] = got["total"].to_numpy(int)
-    return all_rows.where("slot is null").select("id", "n", "cls"), counts
+    classes = written(all_rows.where("hash is not null").select("cls", "n", "hash", "ranges").dropDuplicates(["cls"]), "classes")
+    return all_rows.where("slot is null").select("id", "n", "cls"), classes, counts
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -294,25 +313,40 @@ def large_groups(batches, tested: int, first: int, num: int, den: int, block: in
                     yield as_pairs(p["cls"][i[ok]], g["cls"][j[ok]])
 
 
-def members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(cls, n, ranges, shingles) of the classes in `wanted`, and of few others: a bitmap of BITS bits, of fixed size, spares
-    most others the shuffle. ranges: numbers of shingles in 256 ranges of the hash, modulo 256."""
-    spark = docs.sparkSession
-    k = F.conv(F.hex(F.substring("cls", 1, 4)), 16, 10).cast("long") % BITS
-    words = wanted.select((k / 64).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(conv(hex(substring(cls, 1, 4)), 16, 10) as bigint) % {BITS} % 64)").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+def near_enough(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The distinct pairs that pass the suffix filter on 256 ranges, for which no shingles are moved."""
+
+    def run(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b.column(k).cast(pa.binary(256)).buffers()[1], np.uint8, 256 * len(b), 256 * b.column(k).offset).reshape(-1, 256).astype(np.int16) if len(b) else np.zeros((0, 256), np.int16) for k in (2, 3))
+            n = b.column(4).to_numpy(zero_copy_only=False)
+            apart = np.abs(x - y)
+            ok = np.minimum(apart, 256 - apart).sum(axis=1) <= n - 2 * -(-num * n // (num + den))
+            yield b.select(["a", "b"]).filter(pa.array(ok))
+
+    a, b = (classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("ranges").alias(f"r_{x}")) for x in "ab")
+    both = pairs.select("a", "b").distinct().join(a, "a").join(b, "b").select("a", "b", "r_a", "r_b", (F.col("n_a") + F.col("n_b")).alias("n"))
+    return written(both.mapInArrow(run, "a binary, b binary"), "near")
+
+
+def sets_of(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(cls, n, shingles) of the classes in pairs, made anew from one text each. A bitmap of BITS bits, of fixed size, over
+    the texts' hashes spares nearly all other texts the work; the few it lets through are harmless."""
+    wanted = classes.join(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "cls", "left_semi").select(F.pmod("hash", F.lit(BITS)).alias("k"))
+    words = wanted.groupBy((F.col("k") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k % 64 as int))")).alias("bits")).toPandas()
     bits = np.zeros(BITS // 64, np.int64)
     bits[words["word"].to_numpy(int)] = words["bits"].to_numpy(np.int64)
-    held = spark.sparkContext.broadcast(bits)
+    held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
         words, seen, found = Words(), set(), np.unpackbits(held.value.view(np.uint8), bitorder="little")
         for b in batches:
             out = []
             for x in b.column(1):
-                s = words.shingles(x.as_py(), size)
-                if len(s) and found[int.from_bytes((cls := digest(s))[:4], "big") % BITS] and cls not in seen:
-                    seen.add(cls)
-                    out.append((cls, len(s), (np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 255).astype(np.uint8).tobytes(), s.view(np.int64)))
+                if found[(h := text_hash(text := x.as_py())) % BITS] and h not in seen:
+                    seen.add(h)
+                    if len(s := words.shingles(text, size)):
+                        out.append((digest(s), len(s), s.view(np.int64)))
                 if len(out) >= 256:
                     yield batch(out)
                     out = []
@@ -321,31 +355,19 @@ def members(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def batch(out):
         ends = np.cumsum([0, *(o[1] for o in out)])
-        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([o[3] for o in out])))], ["cls", "n", "ranges", "shingles"])
-
-    return written(docs.mapInArrow(run, "cls binary, n long, ranges binary, shingles array<long>").dropDuplicates(["cls"]), "sets")
-
+        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([o[2] for o in out])))], ["cls", "n", "shingles"])
 
-def near_enough(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The distinct pairs that pass the suffix filter on 256 ranges, for which no shingles are moved."""
-
-    def run(batches):
-        for b in batches:
-            x, y = (np.frombuffer(b.column(k).cast(pa.binary(256)).buffers()[1], np.uint8, 256 * len(b), 256 * b.column(k).offset).reshape(-1, 256).astype(np.int16) if len(b) else np.zeros((0, 256), np.int16) for k in (2, 3))
-            n = b.column(4).to_numpy(zero_copy_only=False)
-            apart = np.abs(x - y)
-            ok = np.minimum(apart, 256 - apart).sum(axis=1) <= n - 2 * -(-num * n // (num + den))
-            yield b.select(["a", "b"]).filter(pa.array(ok))
-
-    a, b = (sets.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("ranges").alias(f"r_{x}")) for x in "ab")
-    both = pairs.select("a", "b").distinct().join(a, "a").join(b, "b").select("a", "b", "r_a", "r_b", (F.col("n_a") + F.col("n_b")).alias("n"))
-    return written(both.mapInArrow(run, "a binary, b binary"), "near")
+    return written(docs.mapInArrow(run, "cls binary, n long, shingles array<long>").dropDuplicates(["cls"]), "sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The distinct pairs whose sets reach the threshold."""
+    near = near_enough(pairs, classes, num, den)
+    if near.isEmpty():
+        return near
+    sets = sets_of(docs, near, classes, size)
     a, b = (sets.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab")
-    both = near_enough(pairs, sets, num, den).join(a, "a").join(b, "b").withColumn("same", F.size(F.array_intersect("s_a", "s_b")))
+    both = near.join(a, "a").join(b, "b").withColumn("same", F.size(F.array_intersect("s_a", "s_b")))
     return written(both.where(F.col("same") * (num + den) >= (F.col("n_a") + F.col("n_b")) * num).select("a", "b"), "links")
 
 
@@ -368,14 +390,12 @@ def components(links: DataFrame) -> DataFrame:
 
 def linked_classes(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
     """(id, n, cls) per row, and (cls, comp) of the classes that have links, or None if there are none."""
-    rows, counts = describe(docs, size)
+    rows, classes, counts = describe(docs, size)
     dealt = prefixes(docs, size, levels(counts), num, den).repartition("gram").sortWithinPartitions("gram", "pos", "n", "cls")
     found = written(dealt.mapInArrow(lambda it: small_groups(it, num, den), PAIR), "candidates")
     pairs = found.where("kind = 0").select("a", "b")
     large = found.where("kind = 1").select("gram", F.col("a").alias("cls"), "n", "pos", "sig", "sig2")
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(large.select("cls")).distinct()
-    sets = members(docs, wanted, size)
-    links = verified(pairs, sets, num, den)
+    links = verified(pairs, docs, classes, size, num, den)
     labels = components(links)
     tested, turn = 0, 0
     while True:
@@ -387,7 +407,7 @@ def linked_classes(docs: DataFrame, size: int, num: int, den: int) -> tuple[Data
             return rows, labels
         order = large.select("gram", "cls", "n", "pos", "sig", "sig2", "comp").repartition("gram").sortWithinPartitions("gram", "pos", "n", "cls")
         more = order.mapInArrow(lambda it, t=tested, f=first: large_groups(it, t, f, num, den), PAIR)
-        new = verified(more, sets, num, den)
+        new = verified(more, docs, classes, size, num, den)
         if not new.isEmpty():
             links = written(links.unionByName(new), "links")
             labels = components(links)
