@@ -66,7 +66,8 @@ def get(uri: str) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample_docs: int, dict_bytes: int) -> bytes:
-    """A dictionary from the id arrays of at most sample_docs documents, the first by hash of their ids, 16 KiB of each.
+    """A dictionary from the whole id arrays of at most sample_docs documents, the first by hash of their ids, of which those
+    with more than 32 KiB of text are left out: a dictionary serves short documents, and the driver's share stays bounded.
 
     Too few documents to train on: an empty dictionary, and frames without one.
     """
@@ -75,8 +76,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample_docs:
     enc = words(tokenizer)
     end = np.array([end_id], enc.kind).tobytes()
     rows = docs.select(F.xxhash64("id").alias("h"), F.col("id")).orderBy("h", "id").limit(sample_docs).select("id").distinct()
-    got = docs.join(F.broadcast(rows), "id").select(F.substring("text", 1, 16_384).alias("text")).limit(sample_docs).collect()
-    made = [(enc.encode(r.text) + end)[:16_384] for r in got]
+    got = docs.join(F.broadcast(rows), "id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= 32_768).select("text").limit(sample_docs).collect()
+    made = [enc.encode(r.text) + end for r in got]
     try:
         return zstandard.train_dictionary(dict_bytes, made).as_bytes() if len(made) >= 16 else b""
     except zstandard.ZstdError:
