@@ -2,7 +2,8 @@
 
 1. Every text becomes its set of shingles as 64-bit hashes. Texts with equal sets form a class, named by a 128-bit digest of
    the set; classes stand for their copies from here on. A table of SLOTS counters sums shingle counts of all documents; its
-   size is fixed, so it is collected and broadcast. It orders shingles rare first; any order gives right results.
+   size is fixed, so it is collected and broadcast. A slot's rank among all slots orders shingles rare first: a shingle that
+   some tens of texts share lifts its slot over those that a prefix takes. Any order gives right results.
 2. A class's prefix is its first n - ceil(t n) + 1 shingles in that order. Linked classes share a prefix shingle, so prefix
    rows are dealt by shingle. Within a shingle, pairs pass the length filter, the positional filter and the suffix filter
    (numbers of shingles in sixteen hash ranges bound the symmetric difference from below).
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-SLOTS, SMALL, FIRST, GROWTH = 1 << 17, 16, (1, 8, 1024), 32
+SLOTS, SPANS, SMALL, FIRST, GROWTH = 1 << 21, 1 << 10, 16, (1, 8, 1024), 32
 BITS = 1 << 23
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -119,9 +120,28 @@ def ranges(s: np.ndarray) -> bytes:
     return (np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 255).astype(np.uint8).tobytes()
 
 
+def spans(counts: np.ndarray) -> pa.Array:
+    """Each row of counters as little-endian 32-bit integers, which stop at their largest value."""
+    return pa.array([x.tobytes() for x in np.minimum(counts, (1 << 32) - 1).astype("<u4")], pa.binary())
+
+
+def added(rows: DataFrame) -> DataFrame:
+    """(slot, total): stretches of counters, those of one place added up within each task."""
+
+    def run(batches):
+        held = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                held[k] = held.get(k, 0) + np.frombuffer(x.as_buffer(), "<u4").astype(np.int64)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), spans(np.stack(list(held.values())))], ["slot", "total"])
+
+    return rows.mapInArrow(run, "slot long, total binary")
+
+
 def describe(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """(id, n, cls) of every row; (cls, n, hash, ranges) of every class, hash being one of its texts'; and the shingle
-    counts of all rows by slot. A task names a class's ranges once."""
+    counts of all rows by slot, which tasks hand on in SPANS stretches of slots. A task names a class's ranges once."""
     kind = docs.schema["id"].dataType.simpleString()
     names = ["id", "n", "cls", "hash", "ranges", "slot", "total"]
 
@@ -141,24 +161,24 @@ def describe(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, np.ndarr
                 bins.append(ranges(s) if first else None)
                 seen.add(name)
                 np.add.at(counts, slots(s), 1)
-            nothing = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(hashes, pa.int64()), pa.array(bins, pa.binary()), nothing, nothing], names)
-        if len(at := np.flatnonzero(counts)):
-            none = [pa.nulls(len(at), t) for t in (id_type, pa.int64(), pa.binary(), pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(at), pa.array(counts[at])], names)
-
-    all_rows = written(docs.mapInArrow(run, f"id {kind}, n long, cls binary, hash long, ranges binary, slot long, total long"), "rows")
-    counts = np.zeros(SLOTS, np.int64)
-    got = all_rows.where("slot is not null").groupBy("slot").agg(F.sum("total").alias("total")).toPandas()
-    counts[got["slot"].to_numpy(int)] = got["total"].to_numpy(int)
+            no_slot, no_total = pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(hashes, pa.int64()), pa.array(bins, pa.binary()), no_slot, no_total], names)
+        if counts.any():
+            none = [pa.nulls(SPANS, t) for t in (id_type, pa.int64(), pa.binary(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(SPANS)), spans(counts.reshape(SPANS, -1))], names)
+
+    all_rows = written(docs.mapInArrow(run, f"id {kind}, n long, cls binary, hash long, ranges binary, slot long, total binary"), "rows")
+    counts = np.zeros((SPANS, SLOTS // SPANS), np.int64)
+    for r in added(added(all_rows.where("slot is not null").select("slot", "total")).repartition("slot")).toLocalIterator():
+        counts[r.slot] = np.frombuffer(r.total, "<u4")
     classes = written(all_rows.where("hash is not null").select("cls", "n", "hash", "ranges").dropDuplicates(["cls"]), "classes")
-    return all_rows.where("slot is null").select("id", "n", "cls"), classes, counts
+    return all_rows.where("slot is null").select("id", "n", "cls"), classes, counts.reshape(-1)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
-    """Counts on a scale of 256 steps above the median slot, which is what rare shingles add up to."""
-    usual = max(1.0, float(np.median(counts)))
-    return np.clip(8 * np.log2(np.maximum(counts / usual, 1.0)), 0, 255).astype(np.uint8)
+    """Ranks of slots by count on a scale of 65,536 steps. A slot's count varies with the shingles it happens to get, and that
+    by a share that falls as counts grow, so a scale of counts would have to be finer the larger the input."""
+    return (np.searchsorted(np.sort(counts), counts) * 65_536 // len(counts)).astype(np.uint16)
 
 
 def prefixes(docs: DataFrame, size: int, level: np.ndarray, num: int, den: int) -> DataFrame:
