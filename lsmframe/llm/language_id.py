@@ -113,11 +113,27 @@ class Scorer(dict):
         return self.model.langs[k], float(p[k] / p.sum())
 
 
+def first_by_hash(rows: DataFrame, k: int) -> DataFrame:
+    """(id, lang): per language the k rows whose ids come first by hash, ties by id.
+
+    A language may hold most rows, so they aren't ranked in one task: steps of a logarithmic scale of hashes are counted, and
+    only rows up to the step at which k are reached are ranked, some k per language at any size of the input. The table of
+    last steps has a row per language, as the model has a value per language.
+    """
+    hashed = rows.select("id", "lang", F.xxhash64("id").alias("hash"))
+    hashed = hashed.withColumn("step", F.floor(F.log2(F.col("hash").cast("double") + F.lit(2.0**63) + 1) * 16))
+    steps = hashed.groupBy("lang", "step").agg(F.count("*").alias("n"))
+    up_to = F.sum("n").over(Window.partitionBy("lang").orderBy("step")) - F.col("n")
+    last = steps.withColumn("before", up_to).where(F.col("before") < k).groupBy("lang").agg(F.max("step").alias("last"))
+    near = hashed.join(F.broadcast(last), "lang").where(F.col("step") <= F.col("last"))
+    first = Window.partitionBy("lang").orderBy("hash", "id")
+    return near.withColumn("k", F.row_number().over(first)).where(F.col("k") <= k).select("id", "lang")
+
+
 def fit(docs: DataFrame, per_language: int = 1500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_words: int = 60_000, max_grams: int = 100_000) -> Model:
     """docs: the rows to learn from. The sample is at most per_language documents a language, whole texts."""
     rows = docs.select(docs[id_col].alias("id"), docs[lang_col].alias("lang"), docs[text_col].alias("text")).where("lang is not null and text is not null and id is not null")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = rows.select("id", "lang").withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language).select("id", "lang").distinct()
+    ids = first_by_hash(rows, per_language).distinct()
 
     def count(batches):
         for b in batches:

@@ -258,3 +258,17 @@ def test_pipeline_stages(spark):
         docs = spark.createDataFrame(kept.toPandas(), kept.schema)
     out = c.STAGES[-1][1](spark, docs, DATA).toPandas()
     assert set(out.doc_id) == {r.doc_id for r in docs.collect()}
+
+
+def test_language_sample_is_the_first_by_hash(spark):
+    from pyspark.sql import functions as F
+
+    from lsmframe.llm import language_id
+
+    ids = [(i, lang) for i in range(3000) for lang in (["a"] if i % 10 else ["b", "b", "c"])] + [(5, "a")] * 40
+    rows = spark.createDataFrame(ids, "id long, lang string")
+    hashes = {r.id: r.h for r in rows.select("id", F.xxhash64("id").alias("h")).distinct().collect()}
+    for k in (1, 7, 100, 10_000):
+        expected = [x for lang in "abc" for x in sorted((r for r in ids if r[1] == lang), key=lambda r: (hashes[r[0]], r[0]))[:k]]
+        assert sorted(map(tuple, language_id.first_by_hash(rows, k).collect())) == sorted(expected)
+    assert language_id.first_by_hash(rows.limit(0), 5).count() == 0
