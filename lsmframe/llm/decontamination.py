@@ -2,9 +2,12 @@
 
 Texts become canonical tokens: numbers, units and names turn into typed placeholders, other words are lower-cased without
 signs. Windows of `window` canonical tokens (an item's whole length if shorter) are hashed and joined with the benchmark's
-windows by hash. Matches on one diagonal (same offset between document and item) form an alignment; its slots have to be
-consistent: each placeholder value of the item stands for one value in the document, and the reverse. An item counts as
-contained if an alignment covers at least `share` of its windows.
+windows by hash. Runs of names, and a number with its unit, are one slot. A match gives a diagonal (an offset between document
+and item), around which the item's tokens are aligned over the diagonals at most DRIFT away, so inserted, dropped and replaced
+words don't end an alignment. Its slots have to be consistent: each placeholder value of the item stands for one value in the
+document, and the reverse. An item counts as contained if an alignment covers at least `share` of its windows (one diagonal
+each, added up), or if NEAR of the item's tokens are equal. Shorter windows of items below 17 tokens let one edit anywhere
+be found from 6 tokens on; several edits are found where they leave a window whole.
 
 The benchmark's windows are broadcast in blocks of at most `block_bytes` of text, each joined with every document, so the
 broadcast is bounded however long the benchmark is. No shuffle.
@@ -16,7 +19,8 @@ rows; empty tables give no rows. Names: capitalised words not at the start of a
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import table, text_list
 
 WINDOW, SHARE, LEAST, LITERALS = 8, 0.4, 5, 3
+#: Diagonals joined to one alignment; share of an item's tokens that makes a copy whatever its windows; characters looked at together.
+DRIFT, NEAR, PART = 4, 0.8, 1 << 19
 #: Units of measure, money and time.
 UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg t lb lbs oz ounce ounces pound pounds ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent mph kmh km/h".split())
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*\d?[%$€£]?\Z")
@@ -40,135 +46,270 @@ def code(token: str) -> int:
     return xxhash.xxh64_intdigest(token.encode())
 
 
-CODES = {k: code(k) for k in (NUM, UNIT, NAME)}
-#: Of a chunk: its code as a word, placeholder kind (0 none, 1 number, 2 unit), whether it is capitalised, whether a sentence ends after it, and whether it is empty.
-FACT = np.dtype([("code", "<u8"), ("slot", "u1"), ("name", "u1"), ("ends", "u1"), ("empty", "u1")])
+#: By kind: 0 literal, 1 number, 2 unit, 3 name, MAYBE a capitalised word at the start of a sentence.
+PLACEHOLDERS, MAYBE = np.array([0, code(NUM), code(UNIT), code(NAME)], np.uint64), 4
+#: Of a chunk, beside its kind: whether it is capitalised, a sentence ends after it, it is empty, a sign follows its word.
+CAPITAL, ENDS, EMPTY, BREAK = 4, 8, 16, 32
 
 
-def fact(chunk: str) -> tuple[int, int, int, int, int]:
+def fact(chunk: str) -> tuple[int, int]:
+    """A chunk's code as a word, and its flags."""
     if chunk.isascii() and (word := chunk[:-1] if (end := chunk[-1:]) in (".", ",") else chunk).isalpha() and word.islower() and word not in UNITS:
-        return code(word), 0, 0, end == ".", 0
+        return code(word), ENDS * (end == ".")
     core = EDGE.sub("", chunk)
-    ends = chunk == "\n" or chunk.rstrip("\"')]”’")[-1:] in (".", "!", "?", ":")
+    flags = ENDS * (chunk == "\n" or chunk.rstrip("\"')]”’")[-1:] in (".", "!", "?", ":")) | BREAK * (not chunk.endswith(core[-1:] or " "))
     low = re.sub(r"[^\w$€£%]+", "", core.lower())
     if not low:
-        return 0, 0, 0, ends, 1
-    if NUMBER.match(core) or NUMBER_UNIT.match(core.lower()):
-        return code(low), 1, 0, ends, 0
+        return 0, flags | EMPTY
+    if (pair := NUMBER_UNIT.match(core.lower())) and pair[2] in UNITS:
+        number, unit = (np.array([code(re.sub(r"\W", "", x))], np.uint64) for x in pair.groups())
+        with np.errstate(over="ignore"):
+            return int((number + second(unit))[0]), flags | 1
+    if NUMBER.match(core) or pair:
+        return code(low), flags | 1
     if low in UNITS and len(low) > 1:
-        return code(low), 2, 0, ends, 0
-    return code(low), 0, core[0].isupper() and core[1:].islower(), ends, 0
+        return code(low), flags | 2
+    return code(low), flags | CAPITAL * (core[0].isupper() and core[1:].islower())
 
 
-class Canon(dict):
-    """Canonical tokens of texts, as arrays: template code, own code (the slot's value), slot or not.
+class Tokens(NamedTuple):
+    """Canonical tokens of texts one after another: own codes (the slots' values), kinds, and where each text starts."""
+
+    own: np.ndarray
+    kind: np.ndarray
+    bounds: np.ndarray
+
+    def template(self, starts_are_names: bool) -> np.ndarray:
+        """Codes with placeholders for slots; a capitalised word at the start of a sentence is a literal or a name."""
+        k = np.where(self.kind == MAYBE, 3 if starts_are_names else 0, self.kind)
+        return np.where(k > 0, PLACEHOLDERS[k], self.own)
 
-    As a dictionary it holds each chunk's row in `facts`; beyond `keep` chunks it starts anew.
-    """
+
+class Canon(dict):
+    """Canonical tokens of texts. As a dictionary it holds each chunk's row in `codes` and `flags`; beyond `keep` it starts anew."""
 
     def __init__(self, keep: int = 700_000):
-        self.facts, self.keep = np.zeros(1 << 16, FACT), keep
+        self.codes, self.flags, self.keep = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint8), keep
 
     def __missing__(self, chunk: str) -> int:
         k = self[chunk] = len(self)
-        if k >= len(self.facts):
-            self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
-        self.facts[k] = fact(chunk)
+        if k >= len(self.codes):
+            self.codes, self.flags = (np.concatenate([x, np.zeros_like(x)]) for x in (self.codes, self.flags))
+        self.codes[k], self.flags[k] = fact(chunk)
         return k
 
-    def look(self, chunks: list[str]) -> np.ndarray:
+    def tokens(self, texts: list[str]) -> Tokens:
         if len(self) > self.keep:
             self.clear()
-        rows = [self[c] for c in chunks]
-        return self.facts[rows]
-
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        f = self.look(text.replace("\n", " \n ").replace("\t", " ").replace("\r", " ").split(" "))
-        starts = np.concatenate([[True], f["ends"][:-1] > 0]) if len(f) else np.zeros(0, bool)
-        # an empty chunk hands on that a sentence has ended before it
-        if f["empty"].any():
-            full = f["empty"] == 0
-            last = np.maximum.accumulate(np.where(full, np.arange(len(f)), -1))
-            ended = np.cumsum(f["ends"] > 0)
-            before = np.concatenate([[-1], last[:-1]])
-            since = np.concatenate([[0], ended[:-1]]) - np.where(before >= 0, ended[before] - (f["ends"][before] > 0), 0)
-            starts = (before < 0) | (since > 0)
-            f, starts = f[full], starts[full]
-        name = (f["name"] > 0) & ~starts
-        t = f["code"].copy()
-        t[f["slot"] == 1], t[f["slot"] == 2], t[name] = CODES[NUM], CODES[UNIT], CODES[NAME]
-        return t, f["code"], (f["slot"] > 0) | name
-
-
-def windows(codes: np.ndarray, n: int) -> np.ndarray:
-    """A hash of every n codes in a row."""
-    m = len(codes) - n + 1
-    if m <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(m, np.uint64)
+        rows, bounds = [], [0]
+        for x in texts:
+            rows += map(self.__getitem__, x.replace("\n", " \n ").replace("\t", " ").replace("\r", " ").split(" "))
+            bounds.append(len(rows))
+        flags = self.flags[rows]
+        # empty chunks go, and hand on that a sentence has ended
+        at = np.flatnonzero(flags & EMPTY == 0)
+        ended = np.cumsum(flags & ENDS > 0)[at] - (flags[at] & ENDS > 0)
+        own, flags, bounds = self.codes[rows][at], flags[at], np.searchsorted(at, bounds)
+        starts = np.diff(ended, prepend=0) > 0
+        starts[bounds[:-1][bounds[:-1] < len(at)]] = True
+        kind = flags & 3
+        kind[(flags & CAPITAL > 0) & starts], kind[(flags & CAPITAL > 0) & ~starts] = MAYBE, 3
+        return collapsed(own, kind, starts, flags & BREAK > 0, bounds)
+
+
+def collapsed(own: np.ndarray, kind: np.ndarray, starts: np.ndarray, breaks: np.ndarray, bounds: np.ndarray) -> Tokens:
+    """Runs of names, and numbers with their unit, as one slot each."""
+    joined = np.zeros(len(own), bool)
+    joined[1:] = ((kind[1:] == 3) & (kind[:-1] == 3) & ~breaks[:-1]) | ((kind[1:] == 2) & (kind[:-1] == 1) & ~starts[1:])
+    if joined.any():
+        heads, more = np.flatnonzero(~joined), np.flatnonzero(joined)
+        to = np.searchsorted(heads, more) - 1
+        with np.errstate(over="ignore"):
+            values = own[heads]
+            np.add.at(values, to, second(own[more]) * (more - heads[to]).astype(np.uint64))
+        own, kind, bounds = values, kind[heads], np.searchsorted(heads, bounds)
+    return Tokens(own, kind, bounds)
+
+
+def second(codes: np.ndarray) -> np.ndarray:
+    """What a code adds to that of the slot it is joined to."""
+    return (codes ^ (codes >> np.uint64(29))) * MIX
+
+
+def windows(codes: np.ndarray, lengths: list[int]) -> dict[int, np.ndarray]:
+    """By length n, a hash of every n codes in a row."""
+    found, out = {}, np.zeros(len(codes), np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(n):
-            out = (out ^ codes[k : k + m]) * MIX
+        for k in range(max(lengths, default=0)):
+            out = (out[: max(len(codes) - k, 0)] ^ codes[k:]) * MIX
             out ^= out >> np.uint64(29)
-    return out
+            if k + 1 in lengths:
+                found[k + 1] = out.copy()
+    return found
+
+
+class Item(NamedTuple):
+    item_id: object
+    own: list[int]
+    kind: list[int]
+    window: int
+    total: int
 
 
 class Index:
-    """Windows of a block of items, sorted by hash, in groups of one window length."""
+    """Windows of a block of items, sorted by hash, by variant of the template and window length.
+
+    Besides its windows, an item of fewer than 2 * window + 1 tokens has windows of half its length: one changed word leaves
+    one of them whole.
+    """
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, least: int = LEAST):
-        canon, self.items, by_length = Canon(), [], defaultdict(list)
+        canon, self.items, rows = Canon(), [], defaultdict(list)
         for item_id, text in items:
-            t, own, slot = canon.tokens(text or "")
-            if len(t) < least:
+            t = canon.tokens([text or ""])
+            size = len(t.own)
+            if size < least:
                 continue
-            k = len(self.items)
-            n = min(window, len(t))
-            h = windows(t, n)
-            literal = np.convolve(~slot, np.ones(n, int), "valid") >= min(LITERALS, n)
-            self.items.append((item_id, own, slot, n, len(h)))
-            by_length[n] += [(int(h[p]), k, p) for p in np.flatnonzero(literal)]
-        self.groups = {}
-        for n, rows in by_length.items():
-            rows.sort()
-            h = np.array([r[0] for r in rows], np.uint64)
+            k, n = len(self.items), min(window, size)
+            self.items.append(Item(item_id, t.own.tolist(), t.kind.tolist(), n, size - n + 1))
+            for m in {n, max(min(n, (size - 1) // 2), 3)}:
+                self.add(rows, t, k, m)
+        self.groups = defaultdict(dict)
+        for (variant, n), found in rows.items():
+            found.sort()
+            h = np.array([r[0] for r in found], np.uint64)
             bits = np.zeros(1 << 20, bool)
             bits[h & np.uint64((1 << 20) - 1)] = True
-            self.groups[n] = (h, [r[1:] for r in rows], bits)
-
-    def find(self, t: np.ndarray, own: np.ndarray, slot: np.ndarray, share: float = SHARE):
-        """(item index, first token, number of tokens, windows matched, all slots equal) of each item contained."""
-        seen: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for n, (h, where, bits) in self.groups.items():
-            w = windows(t, n)
-            for p in np.flatnonzero(bits[w & np.uint64((1 << 20) - 1)]):
-                lo, hi = np.searchsorted(h, w[p], "left"), np.searchsorted(h, w[p], "right")
-                for k, q in where[lo:hi]:
-                    seen[k, int(p) - q].append(q)
-        best = {}
-        for (k, shift), found in sorted(seen.items()):
-            _, item, item_slot, n, total = self.items[k]
-            if len(set(found)) < share * total or not (same := consistent(item, item_slot, own, slot, shift, found, n)):
-                continue
-            row = (k, shift + min(found), max(found) - min(found) + n, len(set(found)), same == 2)
-            if k not in best or row[3] > best[k][3]:
-                best[k] = row
-        return list(best.values())
-
-
-def consistent(item, item_slot, own, slot, shift: int, found: list[int], n: int) -> int:
+            self.groups[variant][n] = (h, [r[1:] for r in found], bits)
+
+    def add(self, rows: dict, t: Tokens, k: int, n: int) -> None:
+        per = lambda x: np.convolve(x, np.ones(n, int), "valid")
+        literal = per((t.kind == 0) | (t.kind == MAYBE)) >= min(LITERALS, n)
+        rows["literal", n] += [(int(h), k, int(p)) for p, h in enumerate(windows(t.template(False), [n])[n]) if literal[p]]
+
+    def find(self, t: Tokens, share: float = SHARE):
+        """(text, item index, first token, number of tokens, windows matched, all slots equal) of each item contained."""
+        seen: dict[tuple[int, int], Counter] = defaultdict(Counter)
+        for variant, groups in self.groups.items():
+            codes = t.template(False)
+            for n, w in windows(codes, list(groups)).items():
+                h, where, bits = groups[n]
+                at = np.flatnonzero(bits[w & np.uint64((1 << 20) - 1)])
+                lo, hi = np.searchsorted(h, w[at], "left"), np.searchsorted(h, w[at], "right")
+                text = np.searchsorted(t.bounds, at, "right") - 1
+                inside = (hi > lo) & (at + n <= t.bounds[text + 1])
+                for p, d, i, j in zip(*(x[inside].tolist() for x in (at - t.bounds[text], text, lo, hi)), strict=True):
+                    for k, q in where[i:j]:
+                        seen[d, k][p - q] += 1
+        out, held = [], None
+        for (d, k), shifts in sorted(seen.items()):
+            if held is None or held[0] != d:
+                part = slice(t.bounds[d], t.bounds[d + 1])
+                held = d, t.own[part].tolist(), t.kind[part].tolist()
+            if row := contained(self.items[k], *held[1:], shifts, share):
+                out.append((d, k, *row))
+        return out
+
+
+def contained(item: Item, own: list[int], kind: list[int], shifts: Counter, share: float):
+    """(first token, number of tokens, windows matched, all slots equal) of the item's best alignment, or None."""
+    best = None
+    for shift, _ in sorted(shifts.items(), key=lambda x: (-x[1], x[0])):
+        straight = [q + shift if 0 <= q + shift < len(own) and equal(item, q, own, kind, q + shift) else -1 for q in range(len(item.own))]
+        for pairs in [straight] if min(straight) >= 0 else [align(item, own, kind, shift), straight]:
+            row = judged(item, own, kind, pairs, share)
+            if row and (best is None or row[2] > best[2]):
+                best = row
+        if best and best[2] == item.total:
+            break
+    return best
+
+
+def equal(item: Item, q: int, own: list[int], kind: list[int], p: int) -> bool:
+    a, b = item.kind[q], kind[p]
+    return item.own[q] == own[p] or a > 0 and (a == b or a + b == 3 + MAYBE)
+
+
+def align(item: Item, own: list[int], kind: list[int], shift: int) -> list[int]:
+    """Per token of the item its token in the text or -1, from the diagonals at most DRIFT from shift: most equal tokens, then fewest changes of diagonal."""
+    wide, size = 2 * DRIFT + 1, len(item.own)
+    last, moves = [0] * wide, []
+    for q in range(size):
+        row, move = [0] * wide, [0] * wide
+        for j in range(wide):
+            p = q + shift - DRIFT + j
+            same = 0 <= p < len(own) and equal(item, q, own, kind, p)
+            score, how = last[j] + 4 * same, 1 if same else 0
+            if j + 1 < wide and last[j + 1] - 1 > score:
+                score, how = last[j + 1] - 1, 2
+            if j and row[j - 1] - 1 > score:
+                score, how = row[j - 1] - 1, 3
+            row[j], move[j] = score, how
+        moves.append(move)
+        last = row
+    pairs, j, q = [-1] * size, max(range(wide), key=lambda j: (last[j], -abs(j - DRIFT))), size - 1
+    while q >= 0:
+        how = moves[q][j]
+        if how == 3:
+            j -= 1
+            continue
+        if how == 1:
+            pairs[q] = q + shift - DRIFT + j
+        j += how == 2
+        q -= 1
+    return pairs
+
+
+def judged(item: Item, own: list[int], kind: list[int], pairs: list[int], share: float):
+    """The row of an alignment whose windows reach the share, or whose equal tokens reach NEAR; None if neither or its slots are at odds."""
+    whole, n = [q for q, p in enumerate(pairs) if p >= 0], item.window
+    pairs = settled(item, own, kind, pairs, whole)
+    good, covered, run = 0, set(), 0
+    for q, p in enumerate(pairs):
+        run = run + 1 if p >= 0 and q and p == pairs[q - 1] + 1 else int(p >= 0)
+        if run >= n and counts(item, own, pairs, range(q - n + 1, q + 1), n):
+            good += 1
+            covered.update(range(q - n + 1, q + 1))
+    kept = [q for q in whole if pairs[q] >= 0]
+    for tokens, enough in ((sorted(covered), good and good >= share * item.total), (kept, len(kept) >= NEAR * len(pairs) and counts(item, own, pairs, kept, len(kept)))):
+        if enough and (same := consistent(item, own, kind, pairs, tokens)):
+            first, end = pairs[tokens[0]], pairs[tokens[-1]] + 1
+            return first, end - first, good, same == 2
+    return None
+
+
+def counts(item: Item, own: list[int], pairs: list[int], tokens, n: int) -> bool:
+    """Whether enough of the tokens are literals."""
+    return sum(item.kind[q] in (0, MAYBE) for q in tokens) >= min(LITERALS, n)
+
+
+def settled(item: Item, own: list[int], kind: list[int], pairs: list[int], whole: list[int]) -> list[int]:
+    """pairs without the words at the start of a sentence that differ."""
+    return [-1 if p >= 0 and item.own[q] != own[p] and MAYBE in (item.kind[q], kind[p]) else p for q, p in enumerate(pairs)]
+
+
+def consistent(item: Item, own: list[int], kind: list[int], pairs: list[int], tokens: list[int]) -> int:
     """0 if a slot value stands for two values on the other side, 2 if all slots are equal, else 1."""
-    covered = sorted({q + k for q in found for k in range(n)})
     there, back, same = {}, {}, True
-    for q in covered:
-        if item_slot[q] and slot[q + shift]:
-            a, b = int(item[q]), int(own[q + shift])
+    for q in tokens:
+        a, b = item.own[q], own[pairs[q]]
+        if item.kind[q] and kind[pairs[q]] and (a != b or MAYBE not in (item.kind[q], kind[pairs[q]])):
             if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
                 return 0
             same &= a == b
     return 2 if same else 1
 
 
+def matches(index: Index, canon: Canon, texts: list[str], share: float):
+    """(row, *row of find()) of all texts, in parts of bounded size."""
+    first = size = 0
+    for k, x in enumerate(texts):
+        size += len(x)
+        if size >= PART or k + 1 == len(texts):
+            yield from ((first + d, *r) for d, *r in index.find(canon.tokens(texts[first : k + 1]), share))
+            first, size = k + 1, 0
+
+
 def blocks(bench: DataFrame, id_col: str, text_col: str, block_bytes: int):
     """The benchmark's rows in blocks whose texts are at most block_bytes together; the driver holds one at a time."""
     held, size = [], 0
@@ -195,8 +336,9 @@ def find_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id",
         def run(batches, index=index):
             canon = Canon()
             for b in batches:
-                got = [(i, *r) for i, x in zip(b.column(0).to_pylist(), text_list(b.column(1)), strict=True) if x for r in index.value.find(*canon.tokens(x), share)]
-                cols = [[g[0] for g in got], [index.value.items[g[1]][0] for g in got], *([int(g[k]) for g in got] for k in (2, 3, 4)), [index.value.items[g[1]][4] for g in got], [bool(g[5]) for g in got]]
+                ids = b.column(0).to_pylist()
+                got = [(ids[d], *r) for d, *r in matches(index.value, canon, text_list(b.column(1)), share)]
+                cols = [[g[0] for g in got], [index.value.items[g[1]].item_id for g in got], *([int(g[k]) for g in got] for k in (2, 3, 4)), [index.value.items[g[1]].total for g in got], [bool(g[5]) for g in got]]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), *(pa.array(c, pa.int64()) for c in cols[1:6]), pa.array(cols[6], pa.bool_())], names)
 
         found = rows.mapInArrow(run, schema)
@@ -214,7 +356,9 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text",
         def run(batches, index=index):
             canon = Canon()
             for b in batches:
-                yield b.filter(pa.array([not (x and index.value.find(*canon.tokens(x), share)) for x in text_list(b.column(at))], pa.bool_()))
+                keep = np.ones(len(b), bool)
+                keep[[d for d, *_ in matches(index.value, canon, text_list(b.column(at)), share)]] = False
+                yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

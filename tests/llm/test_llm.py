@@ -160,6 +160,31 @@ def test_op2_finds_templates(spark, docs, empty):
     assert find_contaminated(empty, bench).count() == 0 and find_contaminated(rows, bench.where("false")).count() == 0
 
 
+def contained_in(item, text):
+    from lsmframe.llm.decontamination import Canon, Index
+
+    return bool(Index([(1, item)]).find(Canon().tokens(["Other words, then nothing.", f"Some words go first. {text} And more words follow."])))
+
+
+@pytest.mark.parametrize("size", [6, 8, 15, 20, 28, 41])
+def test_op2_finds_copies_with_one_edit(size):
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(size)]
+    item = " ".join(words)
+    for k in range(size):
+        for other in (words[:k] + ["zz"] + words[k:], words[:k] + words[k + 1 :], words[:k] + ["zz"] + words[k + 1 :]):
+            assert contained_in(item, " ".join(other)), (k, len(other))
+    assert not contained_in(item, " ".join(words[: size // 3] + [f"z{x}" for x in words[size // 3 :]]))
+
+
+def test_op2_joins_runs_of_slots():
+    item = "The long train from Rome goes 5 km to the old station while Anna sleeps"
+    assert contained_in(item, "The long train from New York goes 7km to the old station while Eve sleeps")
+    assert contained_in(item, "The long train from New York City goes 12 to the old station while Mary Ann Smith sleeps")
+    twice = "a train leaves Rome and comes back to Rome after 5 km more"
+    assert contained_in(twice, "a train leaves New York and comes back to New York after 7 km more")
+    assert not contained_in(twice, "a train leaves New York and comes back to Paris after 7 km more")
+
+
 def test_op2_finds_planted_passages(spark):
     import re
 
