@@ -13,7 +13,8 @@ The benchmark's windows are broadcast in blocks of at most `block_bytes` of text
 broadcast is bounded however long the benchmark is. No shuffle.
 
 Null and empty texts match nothing, as do items with fewer than `least` tokens; ties and repeated rows each give their own
-rows; empty tables give no rows. Names: capitalised words not at the start of a sentence.
+rows; empty tables give no rows. Names: capitalised words. At the start of a
+sentence, where any word has a capital, windows are looked up both with the word itself and with the name's placeholder.
 """
 
 from __future__ import annotations
@@ -185,13 +186,16 @@ class Index:
     def add(self, rows: dict, t: Tokens, k: int, n: int) -> None:
         per = lambda x: np.convolve(x, np.ones(n, int), "valid")
         literal = per((t.kind == 0) | (t.kind == MAYBE)) >= min(LITERALS, n)
-        rows["literal", n] += [(int(h), k, int(p)) for p, h in enumerate(windows(t.template(False), [n])[n]) if literal[p]]
+        # what is a name in the middle of a sentence here can start one in a text, and the reverse
+        named = (per((t.kind == MAYBE) | (t.kind == 3)) > 0) & (per(t.kind == 0) >= min(LITERALS, n))
+        for variant, w, chosen in (("literal", t.template(False), literal), ("name", t.template(True), named)):
+            rows[variant, n] += [(int(h), k, p) for p, h in enumerate(windows(w, [n])[n]) if chosen[p]]
 
     def find(self, t: Tokens, share: float = SHARE):
         """(text, item index, first token, number of tokens, windows matched, all slots equal) of each item contained."""
         seen: dict[tuple[int, int], Counter] = defaultdict(Counter)
         for variant, groups in self.groups.items():
-            codes = t.template(False)
+            codes = t.template(variant == "name")
             for n, w in windows(codes, list(groups)).items():
                 h, where, bits = groups[n]
                 at = np.flatnonzero(bits[w & np.uint64((1 << 20) - 1)])
@@ -262,38 +266,53 @@ def align(item: Item, own: list[int], kind: list[int], shift: int) -> list[int]:
 
 def judged(item: Item, own: list[int], kind: list[int], pairs: list[int], share: float):
     """The row of an alignment whose windows reach the share, or whose equal tokens reach NEAR; None if neither or its slots are at odds."""
-    whole, n = [q for q, p in enumerate(pairs) if p >= 0], item.window
-    pairs = settled(item, own, kind, pairs, whole)
-    good, covered, run = 0, set(), 0
+    pairs, slots = settled(item, own, kind, pairs)
+    n, good, covered, run = item.window, 0, set(), 0
     for q, p in enumerate(pairs):
         run = run + 1 if p >= 0 and q and p == pairs[q - 1] + 1 else int(p >= 0)
-        if run >= n and counts(item, own, pairs, range(q - n + 1, q + 1), n):
+        if run >= n and counts(item, slots, range(q - n + 1, q + 1), n):
             good += 1
             covered.update(range(q - n + 1, q + 1))
-    kept = [q for q in whole if pairs[q] >= 0]
-    for tokens, enough in ((sorted(covered), good and good >= share * item.total), (kept, len(kept) >= NEAR * len(pairs) and counts(item, own, pairs, kept, len(kept)))):
-        if enough and (same := consistent(item, own, kind, pairs, tokens)):
+    kept = [q for q, p in enumerate(pairs) if p >= 0]
+    for tokens, enough in ((sorted(covered), good and good >= share * item.total), (kept, len(kept) >= NEAR * len(pairs) and counts(item, slots, kept, len(kept)))):
+        if enough and (same := consistent(item, own, pairs, slots, tokens)):
             first, end = pairs[tokens[0]], pairs[tokens[-1]] + 1
             return first, end - first, good, same == 2
     return None
 
 
-def counts(item: Item, own: list[int], pairs: list[int], tokens, n: int) -> bool:
+def counts(item: Item, slots: set[int], tokens, n: int) -> bool:
     """Whether enough of the tokens are literals."""
-    return sum(item.kind[q] in (0, MAYBE) for q in tokens) >= min(LITERALS, n)
+    return sum(q not in slots for q in tokens) >= min(LITERALS, n)
 
 
-def settled(item: Item, own: list[int], kind: list[int], pairs: list[int], whole: list[int]) -> list[int]:
-    """pairs without the words at the start of a sentence that differ."""
-    return [-1 if p >= 0 and item.own[q] != own[p] and MAYBE in (item.kind[q], kind[p]) else p for q, p in enumerate(pairs)]
+def settled(item: Item, own: list[int], kind: list[int], pairs: list[int]) -> tuple[list[int], set[int]]:
+    """pairs without the words at the start of a sentence that stand for another word and can't be names, and the slots.
 
-
-def consistent(item: Item, own: list[int], kind: list[int], pairs: list[int], tokens: list[int]) -> int:
+    Such a word is a name for sure if it is one in the middle of a sentence too; else it is if it stands for one name throughout.
+    """
+    aligned = [(q, p) for q, p in enumerate(pairs) if p >= 0]
+    names, others = ({x for x, k in zip(item.own, item.kind, strict=True) if k == 3}, {own[p] for _, p in aligned if kind[p] == 3})
+    sure = lambda q, p: item.kind[q] and kind[p] and (MAYBE not in (item.kind[q], kind[p]) or item.own[q] in names or own[p] in others)
+    slots = {q for q, p in aligned if sure(q, p)}
+    there, back = {item.own[q]: own[pairs[q]] for q in slots}, {own[pairs[q]]: item.own[q] for q in slots}
+    pairs = list(pairs)
+    for q, p in aligned:
+        a, b = item.own[q], own[p]
+        if q not in slots and a != b:
+            if there.setdefault(a, b) == b and back.setdefault(b, a) == a:
+                slots.add(q)
+            else:
+                pairs[q] = -1
+    return pairs, slots
+
+
+def consistent(item: Item, own: list[int], pairs: list[int], slots: set[int], tokens: list[int]) -> int:
     """0 if a slot value stands for two values on the other side, 2 if all slots are equal, else 1."""
     there, back, same = {}, {}, True
     for q in tokens:
-        a, b = item.own[q], own[pairs[q]]
-        if item.kind[q] and kind[pairs[q]] and (a != b or MAYBE not in (item.kind[q], kind[pairs[q]])):
+        if q in slots:
+            a, b = item.own[q], own[pairs[q]]
             if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
                 return 0
             same &= a == b

@@ -185,6 +185,15 @@ def test_op2_joins_runs_of_slots():
     assert not contained_in(twice, "a train leaves New York and comes back to Paris after 7 km more")
 
 
+def test_op2_takes_names_at_the_start_of_a_sentence():
+    item = "Anna has 12 apples. Bob gives Anna 5 more. How many apples are there now?"
+    assert contained_in(item, "Tom has 9 apples. Eve gives Tom 4 more. How many apples are there now?")
+    assert not contained_in(item, "Tom has 9 apples. Eve gives Jim 4 more. How many apples are there now?")
+    four = "Anna walks home. Bob walks home. Eve walks slowly. Jim runs home again."
+    assert contained_in(four, "Tom walks home. Sue walks home. Max walks slowly. Kim runs home again.")
+    assert contained_in(four, "then Tom walks home. Sue walks home. Max walks slowly. Kim runs home again.")
+
+
 def test_op2_finds_planted_passages(spark):
     import re
 
