@@ -12,8 +12,10 @@ be found from 6 tokens on; several edits are found where they leave a window who
 The benchmark's windows are broadcast in blocks of at most `block_bytes` of text, each joined with every document, so the
 broadcast is bounded however long the benchmark is. No shuffle.
 
-Null and empty texts match nothing, as do items with fewer than `least` tokens; ties and repeated rows each give their own
-rows; empty tables give no rows. Names: capitalised words. At the start of a
+Windows with fewer than LITERALS literals say little as templates and are looked up by their exact values; items of fewer than
+`least` words match only as a whole and word for word, before slots are joined.
+
+Null and empty texts match nothing; ties and repeated rows each give their own rows; empty tables give no rows. Names: capitalised words. At the start of a
 sentence, where any word has a capital, windows are looked up both with the word itself and with the name's placeholder.
 """
 
@@ -74,11 +76,17 @@ def fact(chunk: str) -> tuple[int, int]:
 
 
 class Tokens(NamedTuple):
-    """Canonical tokens of texts one after another: own codes (the slots' values), kinds, and where each text starts."""
+    """Canonical tokens of texts one after another: own codes (the slots' values), kinds, and where each text starts.
+
+    words, starts and heads: the codes before slots were joined, where each text starts among them, and each token's first.
+    """
 
     own: np.ndarray
     kind: np.ndarray
     bounds: np.ndarray
+    words: np.ndarray
+    starts: np.ndarray
+    heads: np.ndarray
 
     def template(self, starts_are_names: bool) -> np.ndarray:
         """Codes with placeholders for slots; a capitalised word at the start of a sentence is a literal or a name."""
@@ -122,14 +130,15 @@ def collapsed(own: np.ndarray, kind: np.ndarray, starts: np.ndarray, breaks: np.
     """Runs of names, and numbers with their unit, as one slot each."""
     joined = np.zeros(len(own), bool)
     joined[1:] = ((kind[1:] == 3) & (kind[:-1] == 3) & ~breaks[:-1]) | ((kind[1:] == 2) & (kind[:-1] == 1) & ~starts[1:])
+    words, first, heads = own, bounds, np.flatnonzero(~joined)
     if joined.any():
-        heads, more = np.flatnonzero(~joined), np.flatnonzero(joined)
+        more = np.flatnonzero(joined)
         to = np.searchsorted(heads, more) - 1
         with np.errstate(over="ignore"):
             values = own[heads]
             np.add.at(values, to, second(own[more]) * (more - heads[to]).astype(np.uint64))
         own, kind, bounds = values, kind[heads], np.searchsorted(heads, bounds)
-    return Tokens(own, kind, bounds)
+    return Tokens(own, kind, bounds, words, first, heads)
 
 
 def second(codes: np.ndarray) -> np.ndarray:
@@ -168,12 +177,16 @@ class Index:
         canon, self.items, rows = Canon(), [], defaultdict(list)
         for item_id, text in items:
             t = canon.tokens([text or ""])
-            size = len(t.own)
-            if size < least:
+            if not len(t.words):
+                continue
+            k, size = len(self.items), len(t.own)
+            if (short := len(t.words)) < least:
+                self.items.append(Item(item_id, t.own.tolist(), t.kind.tolist(), size, 1))
+                rows["short", short].append((int(windows(t.words, [short])[short][0]), k, 0))
                 continue
-            k, n = len(self.items), min(window, size)
+            n = min(window, size)
             self.items.append(Item(item_id, t.own.tolist(), t.kind.tolist(), n, size - n + 1))
-            for m in {n, max(min(n, (size - 1) // 2), 3)}:
+            for m in {n, min(n, max((size - 1) // 2, 3))}:
                 self.add(rows, t, k, m)
         self.groups = defaultdict(dict)
         for (variant, n), found in rows.items():
@@ -188,24 +201,32 @@ class Index:
         literal = per((t.kind == 0) | (t.kind == MAYBE)) >= min(LITERALS, n)
         # what is a name in the middle of a sentence here can start one in a text, and the reverse
         named = (per((t.kind == MAYBE) | (t.kind == 3)) > 0) & (per(t.kind == 0) >= min(LITERALS, n))
-        for variant, w, chosen in (("literal", t.template(False), literal), ("name", t.template(True), named)):
+        for variant, w, chosen in (("literal", t.template(False), literal), ("name", t.template(True), named), ("exact", t.own, ~literal)):
             rows[variant, n] += [(int(h), k, p) for p, h in enumerate(windows(w, [n])[n]) if chosen[p]]
 
     def find(self, t: Tokens, share: float = SHARE):
         """(text, item index, first token, number of tokens, windows matched, all slots equal) of each item contained."""
         seen: dict[tuple[int, int], Counter] = defaultdict(Counter)
+        short = {}
         for variant, groups in self.groups.items():
-            codes = t.template(variant == "name")
+            codes = t.words if variant == "short" else t.own if variant == "exact" else t.template(variant == "name")
+            bounds = t.starts if variant == "short" else t.bounds
             for n, w in windows(codes, list(groups)).items():
                 h, where, bits = groups[n]
                 at = np.flatnonzero(bits[w & np.uint64((1 << 20) - 1)])
                 lo, hi = np.searchsorted(h, w[at], "left"), np.searchsorted(h, w[at], "right")
-                text = np.searchsorted(t.bounds, at, "right") - 1
-                inside = (hi > lo) & (at + n <= t.bounds[text + 1])
-                for p, d, i, j in zip(*(x[inside].tolist() for x in (at - t.bounds[text], text, lo, hi)), strict=True):
+                text = np.searchsorted(bounds, at, "right") - 1
+                inside = (hi > lo) & (at + n <= bounds[text + 1])
+                for p, d, i, j in zip(*(x[inside].tolist() for x in (at, text, lo, hi)), strict=True):
                     for k, q in where[i:j]:
-                        seen[d, k][p - q] += 1
+                        if variant == "short":
+                            short.setdefault((d, k), (p, p + n - 1))
+                        else:
+                            seen[d, k][p - int(bounds[d]) - q] += 1
         out, held = [], None
+        for (d, k), ends in short.items():
+            first, last = (np.searchsorted(t.heads, ends, "right") - 1 - t.bounds[d]).tolist()
+            out.append((d, k, first, last + 1 - first, 1, True))
         for (d, k), shifts in sorted(seen.items()):
             if held is None or held[0] != d:
                 part = slice(t.bounds[d], t.bounds[d + 1])
@@ -270,20 +291,20 @@ def judged(item: Item, own: list[int], kind: list[int], pairs: list[int], share:
     n, good, covered, run = item.window, 0, set(), 0
     for q, p in enumerate(pairs):
         run = run + 1 if p >= 0 and q and p == pairs[q - 1] + 1 else int(p >= 0)
-        if run >= n and counts(item, slots, range(q - n + 1, q + 1), n):
+        if run >= n and counts(item, own, pairs, slots, range(q - n + 1, q + 1)):
             good += 1
             covered.update(range(q - n + 1, q + 1))
     kept = [q for q, p in enumerate(pairs) if p >= 0]
-    for tokens, enough in ((sorted(covered), good and good >= share * item.total), (kept, len(kept) >= NEAR * len(pairs) and counts(item, slots, kept, len(kept)))):
+    for tokens, enough in ((sorted(covered), good and good >= share * item.total), (kept, len(kept) >= NEAR * len(pairs) and counts(item, own, pairs, slots, kept))):
         if enough and (same := consistent(item, own, pairs, slots, tokens)):
             first, end = pairs[tokens[0]], pairs[tokens[-1]] + 1
             return first, end - first, good, same == 2
     return None
 
 
-def counts(item: Item, slots: set[int], tokens, n: int) -> bool:
-    """Whether enough of the tokens are literals."""
-    return sum(q not in slots for q in tokens) >= min(LITERALS, n)
+def counts(item: Item, own: list[int], pairs: list[int], slots: set[int], tokens) -> bool:
+    """Whether enough of the tokens are literals, or all are equal as they stand."""
+    return sum(q not in slots for q in tokens) >= min(LITERALS, len(tokens)) or all(item.own[q] == own[pairs[q]] for q in tokens)
 
 
 def settled(item: Item, own: list[int], kind: list[int], pairs: list[int]) -> tuple[list[int], set[int]]:

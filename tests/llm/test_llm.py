@@ -194,6 +194,17 @@ def test_op2_takes_names_at_the_start_of_a_sentence():
     assert contained_in(four, "then Tom walks home. Sue walks home. Max walks slowly. Kim runs home again.")
 
 
+def test_op2_finds_items_with_few_literals_and_short_ones():
+    item = "Compute 12 + 7 * 3 - 4 / 2 + 9 - 8"
+    assert contained_in(item, item) and not contained_in(item, "Compute 13 + 6 * 3 - 4 / 2 + 9 - 8")
+    names = "Anna, Bob, Eve, Jim, Max, Tom, 5, 6, 7"
+    assert contained_in(names, f"It was {names}.") and not contained_in(names, "It was Anna, Bob, Eve, Jim, Max, Sue, 5, 6, 9.")
+    for short in ("Who wrote Don Quixote?", "Don Quixote", "2 + 2 ="):
+        assert contained_in(short, short) and contained_in(short, f"then they asked {short} again")
+    assert not contained_in("Who wrote Don Quixote?", "Who wrote War and Peace?")
+    assert contained_in("Quixote wrote", "when Don Quixote wrote it") and not contained_in(None, "") and not contained_in("?", "?")
+
+
 def test_op2_finds_planted_passages(spark):
     import re
 
