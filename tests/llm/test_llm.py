@@ -84,6 +84,28 @@ def test_op10_packs_every_id_once(spark, docs, empty):
     assert got.length.sum() == sum(len(ids(r.text)) for r in docs.collect()) and pack(empty, path).count() == 0
 
 
+@pytest.mark.parametrize(("loss", "masked"), [(300, False), (300, True), (1, True), (2048, True)])
+def test_op10_holds_the_loss_limit(spark, loss, masked):
+    from lsmframe.llm.packing import pack
+
+    path, ids, rng = P.path("word_bpe_49k.json"), ids_of(P.path("word_bpe_49k.json"), 1), random.Random(loss)
+    texts = {k: " ".join(rng.choice(["one", "two", "three", "paper"]) for _ in range(rng.choice([0, 3, 90, 700, 2500]) if loss > 1 else rng.randrange(40))) for k in range(40)}
+    sizes = {k: len(ids(x)) for k, x in texts.items()}
+    masks = {k: [j >= n // 2 for j in range(n - 1)] if masked and k % 5 else None for k, n in sizes.items()}
+    docs = spark.createDataFrame([(k, x, masks[k]) for k, x in texts.items()], "doc_id long, text string, mask array<boolean>")
+    got = pack(docs.coalesce(1), path, segments=16, loss=loss, window=9000, mask_col="mask" if masked else None).toPandas()
+    size = got.groupby("sequence_id").agg(n=("length", "sum"), segments=("length", "size"), loss=("loss_tokens", "sum"))
+    assert all(n <= 2048 and n & (n - 1) == 0 for n in size.n) and size.segments.max() <= 16 and size.loss.max() <= loss
+    assert set(got.doc_id) == set(texts)
+    for i, g in got.groupby("doc_id"):
+        g, want = g.sort_values("start"), ids(texts[i])
+        assert list(g.start) == [0, *g.length.cumsum()[:-1]] and g.length.sum() == len(want)
+        bears = [False, *(masks[i] or [True] * sizes[i])[1:], True][: sizes[i]]
+        assert all(crc(want[r.start : r.start + r.length]) == r.ids_crc32 and sum(bears[r.start : r.start + r.length]) == r.loss_tokens for r in g.itertuples())
+    if loss == 300:  # the limit acts: prompts without loss make longer sequences
+        assert size.loss.max() > 250 and (size.n.max() > 512) == masked
+
+
 def brute(rows, size, num, den):
     sets = []
     for _, t in rows:
