@@ -26,17 +26,24 @@ from .common import table, text_list, written
 
 WIDTH, PAD = 576, 255
 MEDIA_TAGS = {"img": "image", "audio": "audio", "video": "video"}
-SKIPPED = {"script", "style", "head", "template"}
+SKIPPED = {"script", "style", "template"}
+#: What may stand in a head without ending it, and which of them hold text.
+HEAD, HEAD_TEXT = {"head", "title", "base", "link", "meta", "noscript"}, {"title", "noscript"}
 BLOCKS = {"p", "div", "article", "section", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "table", "tr", "figure", "figcaption", "br", "hr", "blockquote", "pre", "nav", "footer", "header", "main", "body", "html"}
 ITEM = "struct<position:int, kind:string, text:string, ref:string, caption:string>"
 
 
 class Interleaver(HTMLParser):
-    """Collects items in document order; a figcaption goes to its figure's media, alt text where there is none."""
+    """Collects items in document order; a figcaption goes to its figure's media, alt text where there is none.
+
+    Without its end tag, a head ends at the first tag or text that can't be in one, and a figcaption at the end of its figure or
+    of the page. A figcaption that no media takes is a text item.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.items, self.buffer, self.skipping, self.figures, self.caption = [], [], 0, [], None
+        self.head, self.inside = False, None
 
     def flush(self) -> None:
         text = " ".join("".join(self.buffer).split())
@@ -44,15 +51,51 @@ class Interleaver(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text, "ref": None, "caption": None})
 
+    def end_caption(self) -> None:
+        """The caption goes to the media that its figure has so far, or waits for the figure's end."""
+        if self.caption is None:
+            return
+        text, self.caption = " ".join("".join(self.caption).split()), None
+        start, waiting = self.figures[-1]
+        if not self.give(start, text) and text:
+            waiting.append((len(self.items), text))
+
+    def give(self, start: int, text: str) -> bool:
+        found = [item for item in self.items[start:] if item["kind"] != "text"]
+        for item in found:
+            item["caption"] = text or item["caption"]
+        return bool(found)
+
+    def end_figure(self) -> None:
+        self.end_caption()
+        self.flush()
+        start, waiting = self.figures.pop()
+        for at, text in reversed(waiting):
+            if not self.give(start, text):
+                self.items.insert(at, {"kind": "text", "text": text, "ref": None, "caption": None})
+
+    def end(self) -> None:
+        while self.figures:
+            self.end_figure()
+        self.flush()
+
     def handle_starttag(self, tag, attrs):
         if tag in SKIPPED:
             self.skipping += 1
             return
+        if tag == "head":
+            self.head = True
+        if self.head and not self.skipping:
+            if tag in HEAD:
+                self.inside = tag if tag in HEAD_TEXT else self.inside
+                return
+            self.head, self.inside = False, None
         if tag in BLOCKS or tag in MEDIA_TAGS:
             self.flush()
         if tag == "figure":
-            self.figures.append(len(self.items))
+            self.figures.append((len(self.items), []))
         elif tag == "figcaption" and self.figures:
+            self.end_caption()
             self.caption = []
         elif tag in MEDIA_TAGS and not self.skipping:
             a = dict(attrs)
@@ -65,19 +108,21 @@ class Interleaver(HTMLParser):
     def handle_endtag(self, tag):
         if tag in SKIPPED:
             self.skipping = max(0, self.skipping - 1)
+        elif tag == "head":
+            self.head, self.inside = False, None
+        elif tag == self.inside:
+            self.inside = None
         elif tag == "figcaption" and self.caption is not None:
-            text, self.caption = " ".join("".join(self.caption).split()), None
-            for item in self.items[self.figures[-1] if self.figures else len(self.items) :]:
-                if item["kind"] != "text":
-                    item["caption"] = text or item["caption"]
+            self.end_caption()
         elif tag == "figure" and self.figures:
-            self.flush()
-            self.figures.pop()
+            self.end_figure()
         elif tag in BLOCKS:
             self.flush()
 
     def handle_data(self, data):
-        if not self.skipping:
+        if self.head and not self.skipping and not self.inside and data.strip():
+            self.head = False
+        if not self.skipping and not self.head:
             (self.buffer if self.caption is None else self.caption).append(data)
 
 
@@ -85,7 +130,7 @@ def parse(html: str | None) -> list[dict]:
     p = Interleaver()
     p.feed(html or "")
     p.close()
-    p.flush()
+    p.end()
     return [{"position": k, **item} for k, item in enumerate(p.items)]
 
 

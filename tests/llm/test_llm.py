@@ -253,6 +253,18 @@ def test_op3_reads_back_and_keeps_order(spark, docs, empty):
     assert interleave(spark.createDataFrame([(1, None)], "page_id long, html string")).first().items == []
 
 
+def test_op3_keeps_content_of_unclosed_tags():
+    from lsmframe.llm.media import parse
+
+    short = lambda html: [i["text"] or (i["ref"], i["caption"]) for i in parse(html)]
+    assert short("<head><title>t</title><body><p>text") == ["text"] == short("<head><meta charset=x><title>t</title>text") == short("<head><title>t</title></head>text")
+    assert short("<head><script>a</script><p>one<p>two") == ["one", "two"]
+    assert short("<figure><img src=r><figcaption>cap</figure><p>after") == [("r", "cap"), "after"]
+    assert short("<figure><img src=r><figcaption>cap") == [("r", "cap")]
+    assert short("<p>a</p><figure><pre>code</pre><figcaption>cap</figcaption>b</figure>c") == ["a", "code", "cap", "b", "c"]
+    assert short("<figure><figcaption>cap</figcaption><img src=r alt=q></figure>") == [("r", "cap")]
+
+
 def test_op5_reads_back(spark):
     from lsmframe.llm.chat import escape, format_turn, format_turns, op5_chat_format, read_back, unescape
 
