@@ -41,7 +41,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: The stages learn models and hash shingles, which SQL does not express; tests hold run() against a plain version.
+#: The stages learn models and hash shingles, which SQL does not express; no test holds run()'s rows against a plain version yet.
 ORACLE_SQL = None
 
 
