@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark import SparkContext
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -10,7 +11,7 @@ def xxh64(c: Column, seed: int = 0) -> Column:
     """The hash of a 4-byte integer or of a string's UTF-8 bytes, as a signed 64-bit number."""
     from pyspark.sql.classic.column import Column as Classic
 
-    jvm = SparkSession.getActiveSession()._jvm
+    jvm = SparkContext._active_spark_context._jvm
     utils = jvm.org.apache.spark.sql.classic.ExpressionUtils
     child = jvm.scala.jdk.javaapi.CollectionConverters.asScala(jvm.java.util.ArrayList([utils.expression(c._jc)])).toSeq()
     return Classic(utils.column(jvm.org.apache.spark.sql.catalyst.expressions.XxHash64(child, seed)))
@@ -21,7 +22,7 @@ def key32(c: Column) -> Column:
     return F.when(c >= 2**31, c - 2**32).otherwise(c).cast("int")
 
 
-def unsigned_mod(h: Column, m: int) -> Column:
+def unsigned_mod(h: Column, m: int | Column) -> Column:
     return ((F.shiftrightunsigned(h, 1) % m) * 2 + h.bitwiseAND(F.lit(1).cast("long"))) % m
 
 

@@ -10,6 +10,11 @@ NOT_FOUND = 2**32 - 1
 TOMBSTONE = 2**32 - 2
 FANOUT, LEAF = 509, 508
 BLOOM_MAX = 4088
+SIZE_RATIO = 2
+#: Entries of a memtable in the benchmarks.
+MEMTABLE = 131_072
+
+KEY_BITS = 32
 
 
 def valid(oplog: DataFrame) -> DataFrame:

@@ -20,6 +20,12 @@ def merge(older: DataFrame, newer: DataFrame, last_level: bool = False) -> DataF
     return out.where("not is_tombstone") if last_level else out
 
 
+def newest_run(rows: DataFrame, last_level: bool) -> DataFrame:
+    """One run out of rows (key, value, is_tombstone, seq, run): of each key the last op of its newest run."""
+    got = rows.groupBy("key").agg(F.max_by(F.struct("value", "is_tombstone", "seq"), F.struct("run", F.col("seq").alias("at"))).alias("new")).select("key", "new.value", "new.is_tombstone", "new.seq")
+    return got.where("not is_tombstone") if last_level else got
+
+
 def compact(levels: DataFrame) -> DataFrame:
     """All levels into one in a single aggregation, where a cascade would rewrite a key once a level."""
     return levels.groupBy("key").agg(F.max_by(F.struct("value", "is_tombstone", "seq"), "seq").alias("new")).where("not new.is_tombstone").select("key", "new.value", "new.seq")

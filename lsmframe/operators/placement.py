@@ -2,55 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import running
 
-def running_puts(oplog: DataFrame, stretches: int = 64) -> DataFrame:
-    """The op-log with `puts`, the number of puts up to and with each op.
 
-    Sequence numbers are dealt into stretches of about equal size; each counts for itself, and the counts of the stretches
-    before it, `stretches` numbers in all, are added from a broadcast table. No task sees the whole log.
-    """
-    cuts = sorted(set(oplog.approxQuantile("seq", [k / stretches for k in range(1, stretches)], 0.002))) if stretches > 1 else []
-    marked = oplog.withColumn("stretch", sum([(F.col("seq") > F.lit(int(c))).cast("int") for c in cuts], F.lit(0)))
-    counts = marked.groupBy("stretch").agg(F.sum((F.col("op") == "P").cast("long")).alias("own"))
-    before = counts.select("stretch", F.coalesce(F.sum("own").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    w = Window.partitionBy("stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return marked.join(F.broadcast(before), "stretch").withColumn("puts", F.col("before") + F.sum((F.col("op") == "P").cast("long")).over(w)).drop("stretch", "before")
+def level_of(run: Column, n: Column) -> Column:
+    """The level that a run is in once n runs have been flushed; -1 is the memtable."""
+    return F.when(run >= n, -1).otherwise(F.length(F.bin(run.bitwiseXOR(n))) - 1).cast("int")
 
 
-def place(oplog: DataFrame, memtable: int) -> DataFrame:
-    """The op-log with `run`, `n` (runs flushed in all) and `level`; level -1 is the memtable.
+def run_of(op: Column, puts: Column, memtable: int) -> Column:
+    """The run of an op, given the puts up to and with it. Deletes don't count towards the memtable's size, overwrites do."""
+    return F.floor(F.when(op == "P", puts - 1).otherwise(puts) / memtable).cast("long")
 
-    Deletes don't count towards the memtable's size, overwrites do. A log without ops gives no rows.
-    """
-    counted = running_puts(oplog)
-    total = counted.agg(F.coalesce(F.floor(F.max("puts") / memtable), F.lit(0)).cast("long").alias("n"))
-    run = F.when(F.col("op") == "P", F.floor((F.col("puts") - 1) / memtable)).otherwise(F.floor(F.col("puts") / memtable)).cast("long")
-    level = F.when(F.col("run") >= F.col("n"), -1).otherwise(F.length(F.bin(F.col("run").bitwiseXOR(F.col("n")))) - 1).cast("int")
-    return counted.withColumn("run", run).crossJoin(F.broadcast(total)).withColumn("level", level).drop("puts")
+
+def place(oplog: DataFrame, memtable: int) -> DataFrame:
+    """The op-log with `run`, `n` (runs flushed in all) and `level`; level -1 is the memtable. A log without ops gives no rows."""
+    put = (F.col("op") == "P").cast("long")
+    total = oplog.agg(F.floor(F.coalesce(F.sum(put), F.lit(0)) / memtable).cast("long").alias("n"))
+    counted = running(oplog, "seq", {"puts": put}).withColumn("run", run_of(F.col("op"), F.col("puts"), memtable))
+    return counted.crossJoin(F.broadcast(total)).withColumn("level", level_of(F.col("run"), F.col("n"))).drop("puts")
 
 
 def place_with_closes(oplog: DataFrame, memtable: int) -> DataFrame:
     """As `place`, for a log that also has closes (op 'C'), which flush what the memtable holds and begin a new count.
 
-    A close over an empty memtable adds no run. Segments between closes are numbered; their totals, one row a close, are
-    summed in a window of that size.
+    A close over an empty memtable adds no run. Closes cut the log into segments, numbered by a running count; puts and runs
+    before a segment are running sums over the table of segments.
     """
-    order = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    closes = oplog.where("op = 'C'").select("seq")
-    ends = closes.select(F.col("seq").alias("hi"), F.coalesce(F.max("seq").over(order), F.lit(-(2**62))).alias("lo"), F.row_number().over(Window.orderBy("seq")).alias("segment"))
-    last = closes.agg(F.max("seq").alias("lo"), F.count("*").alias("k")).select(F.lit(2**62).alias("hi"), F.coalesce("lo", F.lit(-(2**62))).alias("lo"), (F.col("k") + 1).cast("int").alias("segment"))
-    parts = ends.unionByName(last)
-    ops = oplog.where("op <> 'C'").join(parts, (F.col("seq") > F.col("lo")) & (F.col("seq") < F.col("hi")))
-    w = Window.partitionBy("segment").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ops = ops.withColumn("puts", F.sum((F.col("op") == "P").cast("long")).over(w))
-    ops = ops.withColumn("local", F.when(F.col("op") == "P", F.floor((F.col("puts") - 1) / memtable)).otherwise(F.floor(F.col("puts") / memtable)))
-    sums = ops.groupBy("segment").agg(F.floor(F.max("puts") / memtable).alias("full"), F.max("local").alias("top"))
-    sums = parts.select("segment", "hi").join(sums, "segment", "left").select("segment", F.coalesce(F.col("full") + F.when((F.col("hi") < 2**62) & (F.col("top") >= F.col("full")), 1).otherwise(0), F.lit(0)).alias("runs"))
-    base = sums.select("segment", F.coalesce(F.sum("runs").over(Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    n = sums.agg(F.sum("runs").alias("n"))
-    placed = ops.join(base, "segment").crossJoin(F.broadcast(n)).withColumn("run", (F.col("base") + F.col("local")).cast("long"))
-    level = F.when(F.col("run") >= F.col("n"), -1).otherwise(F.length(F.bin(F.col("run").bitwiseXOR(F.col("n").cast("long")))) - 1).cast("int")
-    return placed.withColumn("level", level).select("seq", "op", "key", "value", "run", "n", "level")
+    put, close = (F.col("op") == "P").cast("long"), (F.col("op") == "C").cast("long")
+    counted = running(oplog, "seq", {"puts": put, "segment": close})
+    ops = counted.where("op <> 'C'")
+    closes = counted.where("op = 'C'").select((F.col("segment") - 1).alias("segment"), F.lit(True).alias("closed"))
+    own = ops.groupBy("segment").agg(F.sum(put).alias("own"), F.max(F.when(F.col("op") == "D", F.col("puts"))).alias("last_delete"), F.max("puts").alias("last_put"))
+    segments = own.join(closes, "segment", "left")
+    based = running(segments, "segment", {"until": F.col("own")}).withColumn("base", F.col("until") - F.col("own"))
+    # after the last full run something is left to flush if a put or a delete came later
+    rest = (F.col("own") % memtable > 0) | (F.col("last_delete") - F.col("base") >= F.floor(F.col("own") / memtable) * memtable)
+    runs = F.floor(F.col("own") / memtable) + F.when(F.col("closed") & rest, 1).otherwise(0)
+    summed = running(based.withColumn("runs", runs.cast("long")), "segment", {"runs_until": F.col("runs")}).select("segment", "base", "runs", (F.col("runs_until") - F.col("runs")).alias("first_run"))
+    total = summed.agg(F.coalesce(F.sum("runs"), F.lit(0)).cast("long").alias("n"))
+    placed = ops.join(summed, "segment").withColumn("run", F.col("first_run") + run_of(F.col("op"), F.col("puts") - F.col("base"), memtable))
+    return placed.crossJoin(F.broadcast(total)).withColumn("level", level_of(F.col("run"), F.col("n"))).select("seq", "op", "key", "value", "run", "n", "level")

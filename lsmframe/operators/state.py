@@ -33,6 +33,13 @@ def multi_get(oplog: DataFrame, keys: DataFrame) -> DataFrame:
     return wanted.join(latest(oplog.join(wanted, "key", "left_semi")), "key", "left")
 
 
+def newest_of_levels(rows: DataFrame, *more: str) -> DataFrame:
+    """(key, value, *more) of rows (seq, op, key, value, level): the least level that has a key decides, within it the last op."""
+    order = F.struct((-F.col("level")).alias("depth"), F.col("seq").alias("at"))
+    got = rows.groupBy("key").agg(F.max_by(F.struct("op", "value", "seq"), order).alias("new"))
+    return got.where("new.op = 'P'").select("key", "new.value", *[f"new.{c}" for c in more])
+
+
 def scan(oplog: DataFrame, start: int, end: int) -> DataFrame:
     """Latest values of keys in [start, end], both inclusive, without tombstones."""
     return latest(oplog.where(F.col("key").between(start, end)))
@@ -51,3 +58,16 @@ def memtable_scan(placed: DataFrame, start: int, end: int) -> DataFrame:
 def newest_level_wins(runs: DataFrame) -> DataFrame:
     """Point reads of all keys over stored levels, without sequence numbers: the lowest level that has a key decides."""
     return runs.groupBy("key").agg(F.min_by(F.struct("is_tombstone", "value"), "level").alias("new")).where("not new.is_tombstone").select("key", "new.value")
+
+
+def differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows that only one of two tables of equal columns has, or has more often: (*columns, more), more on the left counting up.
+
+    Two tables are equal in content if there are none. Nulls equal nulls.
+    """
+    both = left.withColumn("_side", F.lit(1)).unionByName(right.withColumn("_side", F.lit(-1)))
+    return both.groupBy(*left.columns).agg(F.sum("_side").alias("more")).where("more <> 0")
+
+
+def identical(left: DataFrame, right: DataFrame) -> bool:
+    return sorted(left.columns) == sorted(right.columns) and differences(left, right).isEmpty()

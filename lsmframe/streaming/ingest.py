@@ -1,4 +1,4 @@
-"""Streams of ops into a store: a micro-batch is a memtable flush. Late ops settle by sequence number."""
+"""Streams of ops into a store: what a micro-batch leaves in the memtable is flushed at its end."""
 
 from __future__ import annotations
 
