@@ -1,47 +1,59 @@
-"""What the operators share: reading tables, the shared folder, written intermediate tables."""
+"""What the operators share: reading tables, intermediate tables, slices of bounded size, names that clash with none."""
 
 from __future__ import annotations
 
-import atexit
+import ctypes
 import os
-import shutil
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, scratch, shared_dir, written
+
+__all__ = ["crc_mod", "discard", "free_name", "scratch", "shared_dir", "slices", "table", "text_list", "tidy", "written"]
+
+#: Bytes of text that a Python worker turns into strings at once, unless one text is longer.
+SLICE = 2 << 20
+#: Rows of an Arrow batch between the JVM and a Python worker. Texts vary in length: Spark's own 10,000 can be very many bytes.
+ROWS = 1024
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. For this session it also holds Arrow batches to ROWS rows, if they are allowed more."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS:
+        spark.conf.set(key, str(ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(found)
-        return found.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if own is None:
-        made = tempfile.mkdtemp(prefix="lsmframe-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(made)
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
+def slices(batch: pa.RecordBatch, column: int, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose texts have `most` bytes together at most; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def tidy(run: Callable) -> Callable:
+    """A task's function that hands freed memory back to the system in the end: Python workers live on and serve other operators."""
 
+    def whole(batches):
+        yield from run(batches)
+        release()
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder. Runs never reuse one, so a repeated run reads nothing stale."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return whole
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: the lineage ends there and lost executors cost no rerun."""
-    path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    if os.name == "posix" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def text_list(column) -> list[str]:
@@ -49,13 +61,14 @@ def text_list(column) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def free_name(wanted: str, columns: list[str]) -> str:
+    """wanted, with underscores before it until no column has that name or begins with it, whatever the case."""
+    taken = [c.lower() for c in columns]
+    while any(c.startswith(wanted.lower()) for c in taken):
+        wanted = "_" + wanted
+    return wanted
+
+
 def crc_mod(column: str, n: int):
     """crc32 of an id written as text, modulo n; null ids count as 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % n, F.lit(0))
-
-
-def local_file(path: str) -> str | None:
-    """The plain path of a local or file: path, else None."""
-    if path.startswith("file:"):
-        return "/" + path[5:].lstrip("/")
-    return path if os.path.isabs(path) else None

@@ -5,22 +5,26 @@ signs. Windows of `window` canonical tokens (an item's whole length if shorter)
 windows by hash. Runs of names, and a number with its unit, are one slot. A match gives a diagonal (an offset between document
 and item), around which the item's tokens are aligned over the diagonals at most DRIFT away, so inserted, dropped and replaced
 words don't end an alignment. Its slots have to be consistent: each placeholder value of the item stands for one value in the
-document, and the reverse. An item counts as contained if an alignment covers at least `share` of its windows (one diagonal
+document; values of the item that come to the same one there are counted, not refused. An item counts as contained if an alignment covers at least `share` of its windows (one diagonal
 each, added up), or if NEAR of the item's tokens are equal. Shorter windows of items below 17 tokens let one edit anywhere
 be found from 6 tokens on; several edits are found where they leave a window whole.
 
-The benchmark's windows are broadcast in blocks of at most `block_bytes` of text, each joined with every document, so the
-broadcast is bounded however long the benchmark is. No shuffle.
+The benchmark's windows are written in blocks of at most `block_bytes` of text (a longer item is a block of its own) to the
+shared folder. One scan of the documents looks each slice of them up in block after block; a worker holds one block, which
+stays if it is the only one. Nothing is broadcast or shuffled, however long the benchmark is. Scripts that set no spaces
+between words are split into characters.
 
 Windows with fewer than LITERALS literals say little as templates and are looked up by their exact values; items of fewer than
 `least` words match only as a whole and word for word, before slots are joined.
 
-Null and empty texts match nothing; ties and repeated rows each give their own rows; empty tables give no rows. Names: capitalised words. At the start of a
-sentence, where any word has a capital, windows are looked up both with the word itself and with the name's placeholder.
+There is one row per document and item, its best alignment. Null and empty texts match nothing; repeated rows each give their
+own rows; ties go to the first alignment; empty tables give no rows. Names: capitalised words. At the start of a sentence,
+where any word has a capital, windows are looked up both with the word itself and with the name's placeholder.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter, defaultdict
 from typing import NamedTuple
@@ -29,9 +33,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import table, text_list
+from .common import scratch, slices, table, text_list, tidy
+from .token_files import get, put
 
 WINDOW, SHARE, LEAST, LITERALS = 8, 0.4, 5, 3
 #: Diagonals joined to one alignment; share of an item's tokens that makes a copy whatever its windows; characters looked at together.
@@ -41,6 +46,8 @@ UNITS = frozenset("mm cm m km in inch inches ft foot feet yd yard yards mile mil
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*\d?[%$€£]?\Z")
 NUMBER_UNIT = re.compile(r"(\d[\d.,]*)([a-z]{1,6}|%)\Z")
 EDGE = re.compile(r"\A[^\w$€£%]+|[^\w$€£%]+\Z")
+#: Scripts without spaces between words (South-East Asian, kana, ideographs).
+SPACELESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 NUM, UNIT, NAME = "\0num", "\0unit", "\0name"
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -60,7 +67,7 @@ def fact(chunk: str) -> tuple[int, int]:
     if chunk.isascii() and (word := chunk[:-1] if (end := chunk[-1:]) in (".", ",") else chunk).isalpha() and word.islower() and word not in UNITS:
         return code(word), ENDS * (end == ".")
     core = EDGE.sub("", chunk)
-    flags = ENDS * (chunk == "\n" or chunk.rstrip("\"')]”’")[-1:] in (".", "!", "?", ":")) | BREAK * (not chunk.endswith(core[-1:] or " "))
+    flags = ENDS * (chunk == "\n" or chunk.rstrip("\"')]”’")[-1:] in (".", "!", "?", ":", "。", "！", "？")) | BREAK * (not chunk.endswith(core[-1:] or " "))
     low = re.sub(r"[^\w$€£%]+", "", core.lower())
     if not low:
         return 0, flags | EMPTY
@@ -97,7 +104,7 @@ class Tokens(NamedTuple):
 class Canon(dict):
     """Canonical tokens of texts. As a dictionary it holds each chunk's row in `codes` and `flags`; beyond `keep` it starts anew."""
 
-    def __init__(self, keep: int = 700_000):
+    def __init__(self, keep: int = 200_000):
         self.codes, self.flags, self.keep = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint8), keep
 
     def __missing__(self, chunk: str) -> int:
@@ -112,7 +119,7 @@ class Canon(dict):
             self.clear()
         rows, bounds = [], [0]
         for x in texts:
-            rows += map(self.__getitem__, x.replace("\n", " \n ").replace("\t", " ").replace("\r", " ").split(" "))
+            rows += map(self.__getitem__, spaced(x).replace("\n", " \n ").replace("\t", " ").replace("\r", " ").split(" "))
             bounds.append(len(rows))
         flags = self.flags[rows]
         # empty chunks go, and hand on that a sentence has ended
@@ -126,6 +133,17 @@ class Canon(dict):
         return collapsed(own, kind, starts, flags & BREAK > 0, bounds)
 
 
+def spaced(text: str) -> str:
+    """The text with spaces around characters of scripts that set none."""
+    if text.isascii():
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return SPACELESS.sub(r" \g<0> ", text)
+    return text
+
+
 def collapsed(own: np.ndarray, kind: np.ndarray, starts: np.ndarray, breaks: np.ndarray, bounds: np.ndarray) -> Tokens:
     """Runs of names, and numbers with their unit, as one slot each."""
     joined = np.zeros(len(own), bool)
@@ -182,7 +200,7 @@ class Index:
             k, size = len(self.items), len(t.own)
             if (short := len(t.words)) < least:
                 self.items.append(Item(item_id, t.own.tolist(), t.kind.tolist(), size, 1))
-                rows["short", short].append((int(windows(t.words, [short])[short][0]), k, 0))
+                rows["short", short].append((windows(t.words, [short])[short][:1], np.array([k], np.int32), np.zeros(1, np.int32)))
                 continue
             n = min(window, size)
             self.items.append(Item(item_id, t.own.tolist(), t.kind.tolist(), n, size - n + 1))
@@ -190,11 +208,18 @@ class Index:
                 self.add(rows, t, k, m)
         self.groups = defaultdict(dict)
         for (variant, n), found in rows.items():
-            found.sort()
-            h = np.array([r[0] for r in found], np.uint64)
+            h, at, first = (np.concatenate([f[k] for f in found]) for k in range(3))
+            order = np.lexsort((first, at, h))
+            self.groups[variant][n] = (h[order], at[order], first[order])
+        self.bits = {}
+
+    def some(self, variant: str, n: int) -> np.ndarray:
+        """A bit per low 20 bits of the windows' hashes, which spares nearly all look-ups."""
+        if (variant, n) not in self.bits:
             bits = np.zeros(1 << 20, bool)
-            bits[h & np.uint64((1 << 20) - 1)] = True
-            self.groups[variant][n] = (h, [r[1:] for r in found], bits)
+            bits[self.groups[variant][n][0] & np.uint64((1 << 20) - 1)] = True
+            self.bits[variant, n] = bits
+        return self.bits[variant, n]
 
     def add(self, rows: dict, t: Tokens, k: int, n: int) -> None:
         per = lambda x: np.convolve(x, np.ones(n, int), "valid")
@@ -202,23 +227,25 @@ class Index:
         # what is a name in the middle of a sentence here can start one in a text, and the reverse
         named = (per((t.kind == MAYBE) | (t.kind == 3)) > 0) & (per(t.kind == 0) >= min(LITERALS, n))
         for variant, w, chosen in (("literal", t.template(False), literal), ("name", t.template(True), named), ("exact", t.own, ~literal)):
-            rows[variant, n] += [(int(h), k, p) for p, h in enumerate(windows(w, [n])[n]) if chosen[p]]
+            at = np.flatnonzero(chosen).astype(np.int32)
+            if len(at):
+                rows[variant, n].append((windows(w, [n])[n][at], np.full(len(at), k, np.int32), at))
 
     def find(self, t: Tokens, share: float = SHARE):
-        """(text, item index, first token, number of tokens, windows matched, all slots equal) of each item contained."""
+        """(text, item index, first token, number of tokens, windows matched, all slots equal, values merged) of each item contained."""
         seen: dict[tuple[int, int], Counter] = defaultdict(Counter)
         short = {}
         for variant, groups in self.groups.items():
             codes = t.words if variant == "short" else t.own if variant == "exact" else t.template(variant == "name")
             bounds = t.starts if variant == "short" else t.bounds
             for n, w in windows(codes, list(groups)).items():
-                h, where, bits = groups[n]
-                at = np.flatnonzero(bits[w & np.uint64((1 << 20) - 1)])
+                h, item, place = groups[n]
+                at = np.flatnonzero(self.some(variant, n)[w & np.uint64((1 << 20) - 1)])
                 lo, hi = np.searchsorted(h, w[at], "left"), np.searchsorted(h, w[at], "right")
                 text = np.searchsorted(bounds, at, "right") - 1
                 inside = (hi > lo) & (at + n <= bounds[text + 1])
                 for p, d, i, j in zip(*(x[inside].tolist() for x in (at, text, lo, hi)), strict=True):
-                    for k, q in where[i:j]:
+                    for k, q in zip(item[i:j].tolist(), place[i:j].tolist(), strict=True):
                         if variant == "short":
                             short.setdefault((d, k), (p, p + n - 1))
                         else:
@@ -226,7 +253,7 @@ class Index:
         out, held = [], None
         for (d, k), ends in short.items():
             first, last = (np.searchsorted(t.heads, ends, "right") - 1 - t.bounds[d]).tolist()
-            out.append((d, k, first, last + 1 - first, 1, True))
+            out.append((d, k, first, last + 1 - first, 1, True, 0))
         for (d, k), shifts in sorted(seen.items()):
             if held is None or held[0] != d:
                 part = slice(t.bounds[d], t.bounds[d + 1])
@@ -237,7 +264,7 @@ class Index:
 
 
 def contained(item: Item, own: list[int], kind: list[int], shifts: Counter, share: float):
-    """(first token, number of tokens, windows matched, all slots equal) of the item's best alignment, or None."""
+    """(first token, number of tokens, windows matched, all slots equal, values merged) of the item's best alignment, or None."""
     best = None
     for shift, _ in sorted(shifts.items(), key=lambda x: (-x[1], x[0])):
         straight = [q + shift if 0 <= q + shift < len(own) and equal(item, q, own, kind, q + shift) else -1 for q in range(len(item.own))]
@@ -296,9 +323,9 @@ def judged(item: Item, own: list[int], kind: list[int], pairs: list[int], share:
             covered.update(range(q - n + 1, q + 1))
     kept = [q for q, p in enumerate(pairs) if p >= 0]
     for tokens, enough in ((sorted(covered), good and good >= share * item.total), (kept, len(kept) >= NEAR * len(pairs) and counts(item, own, pairs, slots, kept))):
-        if enough and (same := consistent(item, own, pairs, slots, tokens)):
+        if enough and (slot := consistent(item, own, pairs, slots, tokens)):
             first, end = pairs[tokens[0]], pairs[tokens[-1]] + 1
-            return first, end - first, good, same == 2
+            return first, end - first, good, *slot
     return None
 
 
@@ -316,7 +343,7 @@ def settled(item: Item, own: list[int], kind: list[int], pairs: list[int]) -> tu
     names, others = ({x for x, k in zip(item.own, item.kind, strict=True) if k == 3}, {own[p] for _, p in aligned if kind[p] == 3})
     sure = lambda q, p: item.kind[q] and kind[p] and (MAYBE not in (item.kind[q], kind[p]) or item.own[q] in names or own[p] in others)
     slots = {q for q, p in aligned if sure(q, p)}
-    there, back = {item.own[q]: own[pairs[q]] for q in slots}, {own[pairs[q]]: item.own[q] for q in slots}
+    there, back = {item.own[q]: own[pairs[q]] for q in slots}, {own[pairs[q]]: item.own[q] for q in slots}  # for words in doubt both ways
     pairs = list(pairs)
     for q, p in aligned:
         a, b = item.own[q], own[p]
@@ -328,16 +355,16 @@ def settled(item: Item, own: list[int], kind: list[int], pairs: list[int]) -> tu
     return pairs, slots
 
 
-def consistent(item: Item, own: list[int], pairs: list[int], slots: set[int], tokens: list[int]) -> int:
-    """0 if a slot value stands for two values on the other side, 2 if all slots are equal, else 1."""
-    there, back, same = {}, {}, True
+def consistent(item: Item, own: list[int], pairs: list[int], slots: set[int], tokens: list[int]) -> tuple[bool, int] | None:
+    """Whether all slots are equal, and how many of the item's values share one with others; None if a value stands for two."""
+    there, same = {}, True
     for q in tokens:
         if q in slots:
             a, b = item.own[q], own[pairs[q]]
-            if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
-                return 0
+            if there.setdefault(a, b) != b:
+                return None
             same &= a == b
-    return 2 if same else 1
+    return same, len(there) - len(set(there.values()))
 
 
 def matches(index: Index, canon: Canon, texts: list[str], share: float):
@@ -351,57 +378,71 @@ def matches(index: Index, canon: Canon, texts: list[str], share: float):
 
 
 def blocks(bench: DataFrame, id_col: str, text_col: str, block_bytes: int):
-    """The benchmark's rows in blocks whose texts are at most block_bytes together; the driver holds one at a time."""
+    """The benchmark's rows in blocks of whole texts, at most block_bytes together unless one is longer; the driver holds one at a time."""
     held, size = [], 0
     for r in bench.select(bench[id_col].alias("i"), bench[text_col].alias("t")).where("t is not null").toLocalIterator():
-        held.append((r.i, r.t))
-        size += len(r.t)
-        if size >= block_bytes:
+        n = len(r.t.encode())
+        if held and size + n > block_bytes:
             yield held
             held, size = [], 0
+        held.append((r.i, r.t))
+        size += n
     if held:
         yield held
 
 
+def indexed(bench: DataFrame, item_col: str, block_bytes: int) -> list[str]:
+    """Paths of the benchmark's blocks, as Index each, in the shared folder."""
+    paths, root = [], scratch(bench.sparkSession, "benchmark")
+    for k, items in enumerate(blocks(bench, item_col, "text", block_bytes)):
+        put(path := f"{root}/block-{k:06d}", pickle.dumps(Index(items), pickle.HIGHEST_PROTOCOL))
+        paths.append(path)
+    return paths
+
+
+def found_in(batches, paths: list[str], column: int, share: float, most: int = 16 << 20):
+    """(slice of rows, rows of matches() with the item's Item for its index) of Arrow batches. With more than one block the
+    slices are larger, as each reads all blocks."""
+    canon, index = Canon(), None
+    for b in (part for whole in batches for part in (slices(whole, column, most) if len(paths) > 1 else slices(whole, column))):
+        texts, out = text_list(b.column(column)), []
+        for path in paths:
+            if index is None or len(paths) > 1:
+                index = pickle.loads(get(path))
+            out += [(d, index.items[k], *more) for d, k, *more in matches(index, canon, texts, share)]
+        yield b, out
+
+
 def find_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", share: float = SHARE, block_bytes: int = 8 << 20) -> DataFrame:
-    """Per document and item contained in it: ids, first_token, n_tokens, matched and item_windows, exact."""
-    spark, kind, item_kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString(), bench.schema[item_col].dataType.simpleString()
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    schema = f"id {kind}, item {item_kind}, first_token long, n_tokens long, matched_windows long, item_windows long, exact boolean"
-    names = ["id", "item", "first_token", "n_tokens", "matched_windows", "item_windows", "exact"]
-    out = None
-    for items in blocks(bench, item_col, "text", block_bytes):
-        index = spark.sparkContext.broadcast(Index(items))
-
-        def run(batches, index=index):
-            canon = Canon()
-            for b in batches:
-                ids = b.column(0).to_pylist()
-                got = [(ids[d], *r) for d, *r in matches(index.value, canon, text_list(b.column(1)), share)]
-                cols = [[g[0] for g in got], [index.value.items[g[1]].item_id for g in got], *([int(g[k]) for g in got] for k in (2, 3, 4)), [index.value.items[g[1]].total for g in got], [bool(g[5]) for g in got]]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), *(pa.array(c, pa.int64()) for c in cols[1:6]), pa.array(cols[6], pa.bool_())], names)
-
-        found = rows.mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    out = spark.createDataFrame([], schema) if out is None else out
+    """Per document and item contained in it: ids, first_token, n_tokens, matched and item_windows, exact (all slots equal), and
+    merged: by how many the item's distinct slot values are more than those that they stand for in the document."""
+    kind, item_kind = docs.schema[id_col].dataType.simpleString(), bench.schema[item_col].dataType.simpleString()
+    schema = f"id {kind}, item {item_kind}, first_token long, n_tokens long, matched_windows long, item_windows long, exact boolean, merged long"
+    names = ["id", "item", "first_token", "n_tokens", "matched_windows", "item_windows", "exact", "merged"]
+    paths, item_type = indexed(bench, item_col, block_bytes), to_arrow_type(bench.schema[item_col].dataType)
+
+    def run(batches):
+        for b, got in found_in(batches, paths, 1, share):
+            ids = b.column(0).to_pylist()
+            cols = list(zip(*[(ids[d], item.item_id, int(first), int(n), int(good), item.total, bool(exact), int(merged)) for d, item, first, n, good, exact, merged in got], strict=True)) or [[]] * 8
+            types = [b.schema.field(0).type, item_type, *[pa.int64()] * 4, pa.bool_(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(tidy(run), schema)
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", share: float = SHARE, block_bytes: int = 8 << 20) -> DataFrame:
     """docs without those that contain an item; rows pass through a task, without a join."""
-    at = docs.columns.index(text_col)
-    for items in blocks(bench, item_col, "text", block_bytes):
-        index = docs.sparkSession.sparkContext.broadcast(Index(items))
-
-        def run(batches, index=index):
-            canon = Canon()
-            for b in batches:
-                keep = np.ones(len(b), bool)
-                keep[[d for d, *_ in matches(index.value, canon, text_list(b.column(at)), share)]] = False
-                yield b.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    at, paths = docs.columns.index(text_col), indexed(bench, item_col, block_bytes)
+
+    def run(batches):
+        for b, got in found_in(batches, paths, at, share):
+            keep = np.ones(len(b), bool)
+            keep[[d for d, *_ in got]] = False
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,13 @@
    (numbers of shingles in sixteen hash ranges bound the symmetric difference from below).
 3. Candidate pairs are made distinct, pass the suffix filter on 256 ranges and are verified on whole sets.
 4. A shingle that more than SMALL classes share, as in large groups of near copies, isn't expanded into all pairs. In rounds
-   its first 1, 8, 1024, ... classes, those with the fewest rarer shingles first, are compared with all others, but only
-   across components: a pair already connected by links can't change the components. Rounds go on until no shingle has
-   classes of two components left uncompared, so no link between components is lost, and nothing is capped.
+   some 4, 64, 1024, ... of its classes, chosen by hash, are compared with all others, but only across components: a pair
+   already connected by links can't change the components. Rounds go on until no shingle has classes of two components left
+   uncompared, so no link between components is lost, and nothing is capped. The rows of a shingle are dealt to tasks in
+   blocks, to each of which its chosen classes go, so no shingle is one task's work. `join_links` compares all with all and
+   gives every link between classes, and each row's number of links.
+
+A class in very many pairs (HOT) has them dealt to several tasks, to each of which its set goes.
 
 Components come from label propagation with pointer jumping over tables in the shared folder.
 
@@ -28,9 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, slices, table, tidy, written
 
-SLOTS, SPANS, SMALL, FIRST, GROWTH = 1 << 21, 1 << 10, 16, (1, 8, 1024), 32
+SLOTS, SPANS, SMALL, FIRST, GROWTH = 1 << 21, 1 << 10, 16, (4, 64, 1024), 32
+#: Rows of a shingle that meet in a task at least, chosen classes that it holds at most, pairs of a class that make it hot,
+#: rows of a table that are broadcast at most, classes that a task remembers as named.
+BLOCK, PIVOTS, HOT, FEW, NAMED = 512, 1 << 15, 1 << 13, 1 << 18, 1 << 19
 BITS = 1 << 23
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -147,8 +154,10 @@ def describe(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, np.ndarr
 
     def run(batches):
         words, counts, id_type, seen = Words(), np.zeros(SLOTS, np.int64), pa.int64(), set()
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             id_type = b.schema.field(0).type
+            if len(seen) > NAMED:
+                seen.clear()
             n, cls, hashes, bins = [], [], [], []
             for x in b.column(1):
                 text = x.as_py()
@@ -167,7 +176,7 @@ def describe(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, np.ndarr
             none = [pa.nulls(SPANS, t) for t in (id_type, pa.int64(), pa.binary(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*none, pa.array(np.arange(SPANS)), spans(counts.reshape(SPANS, -1))], names)
 
-    all_rows = written(docs.mapInArrow(run, f"id {kind}, n long, cls binary, hash long, ranges binary, slot long, total binary"), "rows")
+    all_rows = written(docs.mapInArrow(tidy(run), f"id {kind}, n long, cls binary, hash long, ranges binary, slot long, total binary"), "rows")
     counts = np.zeros((SPANS, SLOTS // SPANS), np.int64)
     for r in added(added(all_rows.where("slot is not null").select("slot", "total")).repartition("slot")).toLocalIterator():
         counts[r.slot] = np.frombuffer(r.total, "<u4")
@@ -187,8 +196,10 @@ def prefixes(docs: DataFrame, size: int, level: np.ndarray, num: int, den: int)
 
     def run(batches):
         words, seen = Words(), set()
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             out = []
+            if len(seen) > NAMED:
+                seen.clear()
             for x in b.column(1):
                 s = words.shingles(x.as_py(), size)
                 if not len(s) or (cls := digest(s)) in seen:
@@ -203,7 +214,7 @@ def prefixes(docs: DataFrame, size: int, level: np.ndarray, num: int, den: int)
                 cls = np.repeat(np.frombuffer(b"".join([o[1] for o in out]), np.int64).reshape(-1, 2), sizes, axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[0] for o in out]).view(np.int64)), named(cls), pa.array(rep(2, np.int32)), pa.array(np.concatenate([np.arange(1, m + 1, dtype=np.int32) for m in sizes])), pa.array(rep(3, np.int64)), pa.array(rep(4, np.int64))], ["gram", *ROW])
 
-    return docs.mapInArrow(run, "gram long, cls binary, n int, pos int, sig long, sig2 long")
+    return docs.mapInArrow(tidy(run), "gram long, cls binary, n int, pos int, sig long, sig2 long")
 
 
 ROW = ["cls", "n", "pos", "sig", "sig2"]
@@ -305,34 +316,69 @@ def small_groups(batches, num: int, den: int):
         yield from ended(held)
 
 
-def large_groups(batches, tested: int, first: int, num: int, den: int, block: int = 1 << 18):
-    """Rows (gram, cls, n, pos, sig, sig2, comp) sorted by gram, pos, n, cls: pairs of those at ranks tested..first-1 of
-    their gram with all later ones of another component. It holds `first` rows and compares `block` pairs at a time."""
-    gram, rank, last, pivots = None, 0, None, None
+def large_groups(batches, num: int, den: int, block: int = 1 << 18):
+    """Rows (gram, cls, n, pos, sig, sig2, comp, block, chunk, side) sorted by gram, block, chunk, side: pairs of the chosen
+    classes (side 0) with the rows of their block (side 1) of other components. It holds the chosen of one block and compares
+    `block` pairs at a time."""
+    at, pivots = None, None
     for b in batches:
         if not len(b):
             continue
         c = columns(b) | {"comp": unnamed(b.column(6))}
-        at = np.concatenate([[0], np.flatnonzero(np.diff(c["gram"])) + 1, [len(b)]])
-        for lo, hi in zip(at[:-1], at[1:], strict=True):
+        keys = np.stack([c["gram"], *(b.column(k).to_numpy(zero_copy_only=False) for k in (7, 8, 9))], axis=1)
+        cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(b)]])
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            *place, side = keys[lo].tolist()
             g = take(c, slice(lo, hi))
-            if g["gram"][0] != gram:
-                gram, rank, last, pivots = g["gram"][0], 0, None, None
-            new = np.concatenate([[last is None or (g["cls"][0] != last).any()], (g["cls"][1:] != g["cls"][:-1]).any(axis=1)])
-            last, g = g["cls"][-1], take(g, new)
-            g["rank"] = rank + np.arange(len(g["gram"]))
-            rank += len(g["gram"])
-            own = take(g, (g["rank"] >= tested) & (g["rank"] < first))
-            pivots = own if pivots is None else {k: np.concatenate([pivots[k], own[k]]) for k in own} if len(own["gram"]) else pivots
-            rows = len(g["gram"])
-            for k in range(0, len(pivots["gram"]) if rows else 0, step := max(1, block // max(1, rows))):
+            if place != at:
+                at, pivots = place, None
+            if side == 0:
+                pivots = g if pivots is None else {k: np.concatenate([pivots[k], g[k]]) for k in g}
+                continue
+            rows = hi - lo
+            for k in range(0, 0 if pivots is None else len(pivots["gram"]), step := max(1, block // rows)):
                 p = take(pivots, slice(k, k + step))
-                i, j = np.nonzero((p["rank"][:, None] < g["rank"]) & ((p["comp"][:, None, 0] != g["comp"][:, 0]) | (p["comp"][:, None, 1] != g["comp"][:, 1])))
+                i, j = np.nonzero((p["comp"][:, None, 0] != g["comp"][:, 0]) | (p["comp"][:, None, 1] != g["comp"][:, 1]))
                 ok = passing(p["n"][i], p["pos"][i], p["sig"][i], g["n"][j], g["pos"][j], g["sig"][j], num, den)
                 if ok.any():
                     yield as_pairs(p["cls"][i[ok]], g["cls"][j[ok]])
 
 
+def of_grams(rows: DataFrame, grams: DataFrame) -> DataFrame:
+    """rows of the shingles in grams, with the columns of grams. One shingle may have most rows: a table of at most FEW shingles
+    is broadcast, a larger one is joined over 64 parts of each shingle."""
+    if grams.count() <= FEW:
+        return rows.join(F.broadcast(grams), "gram")
+    parts = grams.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    return rows.withColumn("part", F.pmod(F.xxhash64("cls"), F.lit(64)).cast("int")).join(parts, ["gram", "part"]).drop("part")
+
+
+def compared(rows: DataFrame, tested: int, first: int, num: int, den: int) -> DataFrame:
+    """Candidates among rows (gram, cls, n, pos, sig, sig2, comp, m), m being the classes of the shingle: the classes chosen at
+    numbers tested..first-1 of 0..m-1, which a hash gives them, with all of other components."""
+    blocks = F.ceil(F.col("m") / F.lit(max(BLOCK, min(first, PIVOTS)))).cast("int")
+    number = F.pmod(F.xxhash64("cls"), F.col("m"))
+    chunks = -(-(first - tested) // PIVOTS)
+    chosen = rows.withColumn("number", number).where(F.col("number").between(tested, first - 1))
+    chosen = chosen.select("gram", *ROW, "comp", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.floor((F.col("number") - tested) / PIVOTS).cast("int").alias("chunk"), F.lit(0).alias("side"))
+    last = F.least(F.lit(chunks), F.ceil((F.col("m") - tested) / PIVOTS)).cast("int") - 1
+    others = rows.select("gram", *ROW, "comp", F.pmod(F.xxhash64("cls", F.lit(1)), blocks).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).alias("chunk"), F.lit(1).alias("side"))
+    dealt = chosen.unionByName(others).repartition("gram", "block", "chunk").sortWithinPartitions("gram", "block", "chunk", "side")
+    return dealt.mapInArrow(tidy(lambda it: large_groups(it, num, den)), PAIR)
+
+
+def attached(pairs: DataFrame, of: DataFrame, side: str, other: str, columns: list[str]) -> DataFrame:
+    """pairs with the columns of `of` for the class on a side, named with the side after them."""
+    data = of.select(F.col("cls").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+    hot = written(pairs.groupBy(side).agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1"), "hot")
+    if hot.isEmpty():
+        return pairs.join(data, side)
+    hot = F.broadcast(hot) if hot.count() <= FEW else hot
+    spread = pairs.join(hot, side, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(other), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    data = data.join(hot, side, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return spread.join(data, [side, "part"]).drop("part")
+
+
 def near_enough(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """The distinct pairs that pass the suffix filter on 256 ranges, for which no shingles are moved."""
 
@@ -344,15 +390,17 @@ def near_enough(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> Dat
             ok = np.minimum(apart, 256 - apart).sum(axis=1) <= n - 2 * -(-num * n // (num + den))
             yield b.select(["a", "b"]).filter(pa.array(ok))
 
-    a, b = (classes.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("ranges").alias(f"r_{x}")) for x in "ab")
-    both = pairs.select("a", "b").distinct().join(a, "a").join(b, "b").select("a", "b", "r_a", "r_b", (F.col("n_a") + F.col("n_b")).alias("n"))
-    return written(both.mapInArrow(run, "a binary, b binary"), "near")
+    distinct = written(pairs.select("a", "b").distinct(), "pairs")
+    both = attached(attached(distinct, classes, "a", "b", ["n", "ranges"]), classes, "b", "a", ["n", "ranges"])
+    near = written(both.select("a", "b", "ranges_a", "ranges_b", (F.col("n_a") + F.col("n_b")).alias("n")).mapInArrow(tidy(run), "a binary, b binary"), "near")
+    discard(distinct)
+    return near
 
 
-def sets_of(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """(cls, n, shingles) of the classes in pairs, made anew from one text each. A bitmap of BITS bits, of fixed size, over
-    the texts' hashes spares nearly all other texts the work; the few it lets through are harmless."""
-    wanted = classes.join(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "cls", "left_semi").select(F.pmod("hash", F.lit(BITS)).alias("k"))
+def sets_of(docs: DataFrame, names: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(cls, n, shingles) of the classes named, made anew from one text each. A bitmap of BITS bits, of fixed size, over the
+    texts' hashes spares nearly all other texts the work; the few it lets through are harmless."""
+    wanted = classes.join(names.distinct(), "cls", "left_semi").select(F.pmod("hash", F.lit(BITS)).alias("k"))
     words = wanted.groupBy((F.col("k") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k % 64 as int))")).alias("bits")).toPandas()
     bits = np.zeros(BITS // 64, np.int64)
     bits[words["word"].to_numpy(int)] = words["bits"].to_numpy(np.int64)
@@ -360,8 +408,10 @@ def sets_of(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int) ->
 
     def run(batches):
         words, seen, found = Words(), set(), np.unpackbits(held.value.view(np.uint8), bitorder="little")
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             out = []
+            if len(seen) > NAMED:
+                seen.clear()
             for x in b.column(1):
                 if found[(h := text_hash(text := x.as_py())) % BITS] and h not in seen:
                     seen.add(h)
@@ -377,18 +427,14 @@ def sets_of(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int) ->
         ends = np.cumsum([0, *(o[1] for o in out)])
         return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([o[2] for o in out])))], ["cls", "n", "shingles"])
 
-    return written(docs.mapInArrow(run, "cls binary, n long, shingles array<long>").dropDuplicates(["cls"]), "sets")
+    return written(docs.mapInArrow(tidy(run), "cls binary, n long, shingles array<long>").dropDuplicates(["cls"]), "sets")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The distinct pairs whose sets reach the threshold."""
-    near = near_enough(pairs, classes, num, den)
-    if near.isEmpty():
-        return near
-    sets = sets_of(docs, near, classes, size)
-    a, b = (sets.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"s_{x}")) for x in "ab")
-    both = near.join(a, "a").join(b, "b").withColumn("same", F.size(F.array_intersect("s_a", "s_b")))
-    return written(both.where(F.col("same") * (num + den) >= (F.col("n_a") + F.col("n_b")) * num).select("a", "b"), "links")
+def verified(near: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sets reach the threshold."""
+    both = attached(attached(near, sets, "a", "b", ["n", "shingles"]), sets, "b", "a", ["n", "shingles"])
+    same = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    return written(both.where(same * (num + den) >= (F.col("n_a") + F.col("n_b")) * num).select("a", "b"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -403,38 +449,77 @@ def components(links: DataFrame) -> DataFrame:
         moved = labels.join(near, "cls").select("cls", F.col("comp").alias("was"), F.least("comp", "near").alias("via"))
         jump = labels.select(F.col("cls").alias("via"), F.col("comp").alias("then"))
         moved = written(moved.join(jump, "via").select("cls", "was", F.least("via", "then").alias("comp")), "labels")
-        labels = moved.select("cls", "comp")
-        if moved.where("comp <> was").isEmpty():
+        done = moved.where("comp <> was").isEmpty()
+        discard(labels)
+        labels = moved.drop("was")
+        labels._written_at = moved._written_at
+        if done:
             return labels
 
 
-def linked_classes(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
-    """(id, n, cls) per row, and (cls, comp) of the classes that have links, or None if there are none."""
+def candidates(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(id, n, cls) per row; the classes; pairs of classes that share a shingle of at most SMALL classes; and the prefix rows
+    (gram, cls, n, pos, sig, sig2, m) of the other shingles, m being their number of classes."""
     rows, classes, counts = describe(docs, size)
     dealt = prefixes(docs, size, levels(counts), num, den).repartition("gram").sortWithinPartitions("gram", "pos", "n", "cls")
-    found = written(dealt.mapInArrow(lambda it: small_groups(it, num, den), PAIR), "candidates")
-    pairs = found.where("kind = 0").select("a", "b")
-    large = found.where("kind = 1").select("gram", F.col("a").alias("cls"), "n", "pos", "sig", "sig2")
-    links = verified(pairs, docs, classes, size, num, den)
+    found = written(dealt.mapInArrow(tidy(lambda it: small_groups(it, num, den)), PAIR), "candidates")
+    large = written(found.where("kind = 1").select("gram", F.col("a").alias("cls"), "n", "pos", "sig", "sig2").dropDuplicates(["gram", "cls"]), "large")
+    grams = written(large.groupBy("gram").agg(F.count("*").alias("m")), "grams")
+    return rows, classes, found.where("kind = 0").select("a", "b"), of_grams(large, grams)
+
+
+def linked_classes(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, cls) per row, and (cls, comp) of the classes that have links."""
+    rows, classes, pairs, prefix = candidates(docs, size, num, den)
+    large = written(prefix, "large")
+    near = near_enough(pairs, classes, num, den)
+    sets = sets_of(docs, near.select(F.col("a").alias("cls")).union(near.select("b")).union(large.select("cls")), classes, size)
+    links = verified(near, sets, num, den)
     labels = components(links)
     tested, turn = 0, 0
     while True:
         first = FIRST[turn] if turn < len(FIRST) else tested * GROWTH
-        marked = large.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        open_ = marked.groupBy("gram").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where((F.col("lo") != F.col("hi")) & (F.col("m") > tested + 1)).select("gram")
-        large = written(marked.join(open_, "gram", "left_semi"), "large")
-        if large.isEmpty():
+        marked = large.drop("comp").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        left = marked.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("m").alias("m")).where((F.col("lo") != F.col("hi")) & (F.col("m") > tested))
+        grams = written(left.select("gram"), "grams")
+        if grams.isEmpty():
+            discard(large, near, sets)
             return rows, labels
-        order = large.select("gram", "cls", "n", "pos", "sig", "sig2", "comp").repartition("gram").sortWithinPartitions("gram", "pos", "n", "cls")
-        more = order.mapInArrow(lambda it, t=tested, f=first: large_groups(it, t, f, num, den), PAIR)
-        new = verified(more, docs, classes, size, num, den)
-        if not new.isEmpty():
-            links = written(links.unionByName(new), "links")
+        was, large = large, written(of_grams(marked, grams), "large")
+        discard(was, near, grams)
+        near = near_enough(compared(large, tested, first, num, den), classes, num, den)
+        if not near.isEmpty() and not (new := verified(near, sets, num, den)).isEmpty():
+            was, links = links, written(links.unionByName(new), "links")
+            discard(was, new, labels)
             labels = components(links)
-        large = large.drop("comp")
         tested, turn = first, turn + 1
 
 
+def class_links(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, cls) per row, and all links (a, b) between classes, a < b. Every pair of a shared prefix shingle is looked at."""
+    rows, classes, pairs, prefix = candidates(docs, size, num, den)
+    large = written(prefix.withColumn("comp", F.col("cls")), "large")
+    most = large.agg(F.max("m")).first()[0] or 0
+    near = near_enough(pairs.unionByName(compared(large, 0, most, num, den).select("a", "b")) if most else pairs, classes, num, den)
+    sets = sets_of(docs, near.select(F.col("a").alias("cls")).union(near.select("b")), classes, size)
+    return rows, verified(near, sets, num, den)
+
+
+def join_links(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_shingles, class (of equal sets, null without shingles) and n_links, the other rows that it is linked with.
+
+    As a group of near copies may have links between all its classes, the work grows with the links between classes; rows of
+    a class count for each other without being paired.
+    """
+    rows, links = class_links(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), size, num, den)
+    sizes = written(rows.where("cls is not null").groupBy("cls").agg(F.count("*").alias("copies")), "sizes")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(sizes.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("copies").alias("others"))
+    per = sizes.join(others, "cls", "left").select("cls", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    out = rows.join(per, "cls", "left").select("id", F.col("n").alias("n_shingles"), F.lower(F.hex("cls")).alias("class"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    return out.withColumnRenamed("id", id_col)
+
+
 def join_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id. Two rows link if den * intersection >= num * union."""
     rows, labels = linked_classes(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), size, num, den)

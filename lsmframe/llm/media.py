@@ -2,8 +2,10 @@
 
 `parse` reads HTML into ordered items: text, and media references (image, audio, video) with the caption that belongs to
 them. `interleave` makes one row per item; positions count text and media together, so order and captions stay aligned.
-Payloads are kept once per distinct digest, as 8-bit greyscale PNG images of WIDTH samples a row. `resolve` joins
-references with what was read back from the stored bytes; only digests and small columns are shuffled there.
+Payloads are stored as 8-bit greyscale PNG images of WIDTH samples a row, named by digest: a task stores a payload once, as
+long as it has met fewer than SEEN others since, so several tasks may store equal copies, of which `media_features` takes
+one. `resolve` joins references with what was read back from the stored bytes; only digests and small columns are shuffled
+there.
 
 Null and empty texts have an empty payload, stored as one padded row. Null HTML gives no items. References without a stored
 payload keep nulls. Repeated rows each have their row; ids may be null; an empty table gives no rows.
@@ -22,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_list, written
+from .common import slices, table, text_list, tidy, written
 
 WIDTH, PAD = 576, 255
+#: Digests that a task remembers as stored.
+SEEN = 200_000
 MEDIA_TAGS = {"img": "image", "audio": "audio", "video": "video"}
 SKIPPED = {"script", "style", "template"}
 #: What may stand in a head without ending it, and which of them hold text.
@@ -34,7 +38,10 @@ ITEM = "struct<position:int, kind:string, text:string, ref:string, caption:strin
 
 
 class Interleaver(HTMLParser):
-    """Collects items in document order; a figcaption goes to its figure's media, alt text where there is none.
+    """Collects items in document order; a figcaption goes to its figure's media, before or after it, alt text where there is none.
+
+    A reference is the tag's src; without one, or where that holds its data itself, data-src; else the first of srcset; else
+    the first of its source tags (of a picture: those before the image, of audio and video: those inside).
 
     Without its end tag, a head ends at the first tag or text that can't be in one, and a figcaption at the end of its figure or
     of the page. A figcaption that no media takes is a text item.
@@ -44,6 +51,7 @@ class Interleaver(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.items, self.buffer, self.skipping, self.figures, self.caption = [], [], 0, [], None
         self.head, self.inside = False, None
+        self.picture, self.open = None, []
 
     def flush(self) -> None:
         text = " ".join("".join(self.buffer).split())
@@ -97,13 +105,26 @@ class Interleaver(HTMLParser):
         elif tag == "figcaption" and self.figures:
             self.end_caption()
             self.caption = []
+        elif tag == "picture":
+            self.picture = ""
+        elif tag == "source" and not self.skipping:
+            ref = reference(dict(attrs))
+            if self.open:
+                self.open[-1]["ref"] = self.open[-1]["ref"] or ref
+            elif self.picture is not None:
+                self.picture = self.picture or ref
         elif tag in MEDIA_TAGS and not self.skipping:
             a = dict(attrs)
-            self.items.append({"kind": MEDIA_TAGS[tag], "text": None, "ref": a.get("src"), "caption": a.get("alt")})
+            item = {"kind": MEDIA_TAGS[tag], "text": None, "ref": reference(a) or (self.picture or None if tag == "img" else None), "caption": a.get("alt")}
+            self.items.append(item)
+            if tag != "img":
+                self.open.append(item)
 
     def handle_startendtag(self, tag, attrs):
         if tag not in SKIPPED:
             self.handle_starttag(tag, attrs)
+            if tag in ("audio", "video"):
+                self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
         if tag in SKIPPED:
@@ -116,6 +137,11 @@ class Interleaver(HTMLParser):
             self.end_caption()
         elif tag == "figure" and self.figures:
             self.end_figure()
+        elif tag == "picture":
+            self.picture = None
+        elif tag in ("audio", "video") and self.open:
+            self.flush()
+            self.open.pop()
         elif tag in BLOCKS:
             self.flush()
 
@@ -126,6 +152,14 @@ class Interleaver(HTMLParser):
             (self.buffer if self.caption is None else self.caption).append(data)
 
 
+def reference(attrs: dict) -> str | None:
+    src = attrs.get("src")
+    if src and not src.startswith("data:"):
+        return src
+    first = (attrs.get("srcset") or attrs.get("data-srcset") or "").split()
+    return attrs.get("data-src") or (first[0].rstrip(",") if first else None) or src or None
+
+
 def parse(html: str | None) -> list[dict]:
     p = Interleaver()
     p.feed(html or "")
@@ -134,16 +168,17 @@ def parse(html: str | None) -> list[dict]:
     return [{"position": k, **item} for k, item in enumerate(p.items)]
 
 
-def interleave(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Per page: id and `items`, the ordered array of ITEM."""
-    kind = pages.schema[id_col].dataType.simpleString()
+def interleave(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per page: id, the columns of `keep`, and `items`, the ordered array of ITEM."""
     item = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
+    rows = pages.select(pages[html_col], pages[id_col], *[pages[c] for c in keep])
 
     def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([parse(x) for x in b.column(1).to_pylist()], item)], ["id", "items"])
+        for b in (part for whole in batches for part in slices(whole, 0)):
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([parse(x) for x in b.column(0).to_pylist()], item)], [*b.schema.names[1:], "items"])
 
-    return pages.select(pages[id_col].alias("id"), pages[html_col].alias("html")).mapInArrow(run, f"id {kind}, items array<{ITEM}>").withColumnRenamed("id", id_col)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    return rows.mapInArrow(tidy(run), f"{schema}, items array<{ITEM}>")
 
 
 def png(payload: bytes, width: int = WIDTH) -> bytes:
@@ -196,22 +231,23 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches):
         seen = set()
-        for b in batches:
-            for lo in range(0, len(b), 512):
-                ids, n, pages, images, refs = b.column(0).slice(lo, 512), [], [], [], []
-                for i, x in zip(ids.to_pylist(), text_list(b.column(1).slice(lo, 512)), strict=True):
-                    data = x.encode()
-                    payload = padded(data)
-                    key = hashlib.sha256(payload).digest()
-                    ref = f"sha256:{key.hex()}"
-                    n.append(len(data))
-                    pages.append(f'<article><p>document {escape(str(i))}</p><figure><img src="{ref}"><figcaption>{len(data)} bytes</figcaption></figure></article>')
-                    refs.append(ref)
-                    images.append(None if key in seen else png(payload))
-                    seen.add(key)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(pages, pa.string()), pa.array(refs, pa.string()), pa.array(images, pa.binary())], ["id", "n_bytes", "html", "ref", "image"])
-
-    made = written(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, html string, ref string, image binary"), "media")
+        for b in (part for whole in batches for part in slices(whole, 1)):
+            ids, n, pages, images, refs = b.column(0), [], [], [], []
+            for i, x in zip(ids.to_pylist(), text_list(b.column(1)), strict=True):
+                data = x.encode()
+                payload = padded(data)
+                key = hashlib.sha256(payload).digest()
+                ref = f"sha256:{key.hex()}"
+                n.append(len(data))
+                pages.append(f'<article><p>document {escape(str(i))}</p><figure><img src="{ref}"><figcaption>{len(data)} bytes</figcaption></figure></article>')
+                refs.append(ref)
+                images.append(None if key in seen else png(payload))
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(key)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(pages, pa.string()), pa.array(refs, pa.string()), pa.array(images, pa.binary())], ["id", "n_bytes", "html", "ref", "image"])
+
+    made = written(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(tidy(run), f"id {kind}, n_bytes long, html string, ref string, image binary"), "media")
     return made.select(F.col("id").alias(id_col), "n_bytes", "html"), made.where("image is not null").select("ref", "image")
 
 
@@ -219,26 +255,26 @@ def media_features(media: DataFrame) -> DataFrame:
     """Per stored reference: what reading the stored bytes back gives. The bytes are not shuffled, only the results."""
 
     def run(batches):
-        for b in batches:
-            for lo in range(0, len(b), 256):
-                out = []
-                for ref, image in zip(b.column(0).slice(lo, 256).to_pylist(), b.column(1).slice(lo, 256).to_pylist(), strict=True):
-                    payload = png_samples(image)
-                    out.append((ref, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload)))
-                cols = list(zip(*out, strict=True)) or [[]] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["ref", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    found = media.mapInArrow(run, "ref string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+        for b in (part for whole in batches for part in slices(whole, 1)):
+            out = []
+            for ref, image in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                payload = png_samples(image)
+                out.append((ref, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload)))
+            cols = list(zip(*out, strict=True)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["ref", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
+    found = media.mapInArrow(tidy(run), "ref string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return found.dropDuplicates(["ref"])
 
 
-def resolve(pages: DataFrame, features: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """One row per media item of every page: id, position, caption, ref and its payload's columns (null if not stored)."""
-    refs = interleave(pages, id_col).select(id_col, F.explode("items").alias("item")).where("item.kind <> 'text'").select(id_col, "item.position", "item.caption", "item.ref")
+def resolve(pages: DataFrame, features: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per media item of every page: id, the columns of `keep`, position, caption, ref and its payload's columns (null
+    if not stored)."""
+    refs = interleave(pages, id_col, html_col, keep).select(id_col, *keep, F.explode("items").alias("item")).where("item.kind <> 'text'").select(id_col, *keep, "item.position", "item.caption", "item.ref")
     return refs.join(features, "ref", "left")
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, media = store_media(table(spark, sf_dir, "documents"))
-    found = resolve(pages, written(media_features(media), "features"), "doc_id")
-    return found.withColumn("n_bytes", F.regexp_extract("caption", r"^(\d+)", 1).cast("long")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    found = resolve(pages, written(media_features(media), "features"), "doc_id", keep=("n_bytes",))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")

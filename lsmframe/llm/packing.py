@@ -1,9 +1,10 @@
 """Vector bin packing of token sequences: dot-product placement under limits on tokens, segments and loss-bearing tokens.
 
 Documents are cut into pieces of at most `capacity` tokens and `loss` loss-bearing ones. Which tokens bear loss is told by a
-column of masks, if any, else all but a document's first do; so without masks a limit of `capacity` never acts. Each task packs windows of a bounded number of tokens: into the
-open sequence goes the piece whose (tokens, segments, loss) vector has the largest dot product with what is left of the
-three limits, until none fits. Then the emptiest sequences are taken apart and cut to fill the holes of the others, and
+column of masks, if any, else all but a document's first do; so without masks a limit of `capacity` never acts. Each task
+packs windows of a bounded number of tokens and pieces: into the open sequence goes the piece whose (tokens, segments, loss)
+vector has the largest dot product with what is left of the three limits, until none fits. Equal vectors are one entry with a
+count, placed as many at once as the heuristic would place in a row, so the work grows with sequences and distinct vectors. Then the emptiest sequences are taken apart and cut to fill the holes of the others, and
 what stays over goes to the next window. A sequence that the loss limit closes early is cut into powers of two. At the end of a task what is left is cut into sequences whose lengths are powers
 of two, so nothing is padded. No shuffle: a task needs only the documents of its input split.
 
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, tidy
 from .token_files import words
 
 CAPACITY, SEGMENTS, END_ID, TOKENIZER = 2048, 256, 1, "word_bpe_49k.json"
+#: Tokens and pieces that are packed together.
+WINDOW, PIECES = 1 << 21, 1 << 17
 
 
 class Piece:
@@ -53,26 +56,34 @@ def place(sizes: np.ndarray, limits: np.ndarray) -> list[list[int]]:
     """Dot-product placement of vectors (rows of sizes) into bins under limits; every row must fit an empty bin.
 
     The vectors are scaled by the limits and weighted by each dimension's total demand, as the heuristic asks. Ties go to
-    the earlier row.
+    the larger vector, and between copies of one to the earlier row.
     """
-    scaled = sizes / limits
-    weight = scaled.sum(axis=0)
-    order = np.argsort(-(scaled @ weight), kind="stable")
-    sizes, scaled = sizes[order], scaled[order] * (weight / max(weight.max(), 1e-12))
-    bins, left_rows = [], np.arange(len(sizes))
-    while len(left_rows):
-        room, inside = limits.astype(np.int64).copy(), []
-        ok = np.ones(len(left_rows), bool)
-        free = ok.copy()
-        while ok.any():
-            score = np.where(ok, scaled[left_rows] @ (room / limits), -1.0)
-            k = int(score.argmax())
-            inside.append(int(order[left_rows[k]]))
-            room -= sizes[left_rows[k]]
-            free[k] = False
-            ok = free & (sizes[left_rows] <= room).all(axis=1)
+    radix = sizes.max(axis=0) + 1
+    keys = np.ravel_multi_index(sizes.T, radix)
+    found, which, counts = np.unique(-keys, return_inverse=True, return_counts=True)
+    vectors = np.stack(np.unravel_index(-found, radix), axis=1)
+    rows, taken = np.split(np.argsort(which, kind="stable"), np.cumsum(counts)[:-1]), np.zeros(len(counts), np.int64)
+    scaled = vectors / limits
+    weight = counts @ scaled
+    weighted = scaled * (weight / max(weight.max(), 1e-12))
+    bins = []
+    while (taken < counts).any():
+        live = np.flatnonzero(taken < counts)
+        room, inside = limits.astype(np.int64), []
+        while len(live := live[(vectors[live] <= room).all(axis=1) & (taken[live] < counts[live])]):
+            score = weighted[live] @ (room / limits)
+            best = int(score.argmax())
+            k = live[best]
+            # each copy lowers the scores; this vector stays the best until one that falls more slowly has caught up
+            falls = weighted[live] @ scaled[k]
+            slower = falls < falls[best]
+            caught = ((score[best] - score[slower]) / (falls[best] - falls[slower])).min(initial=np.inf)
+            some = vectors[k] > 0
+            n = int(min(counts[k] - taken[k], (room[some] // vectors[k][some]).min(initial=counts[k]), caught + 1))
+            inside += rows[k][taken[k] : taken[k] + n].tolist()
+            taken[k] += n
+            room = room - n * vectors[k]
         bins.append(inside)
-        left_rows = left_rows[free]
     return bins
 
 
@@ -169,8 +180,8 @@ def before_each(mask, size: int) -> np.ndarray | None:
     return np.concatenate([[0], np.cumsum(bears)])
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, segments: int = SEGMENTS, loss: int | None = None, window: int = 1 << 21, mask_col: str | None = None) -> DataFrame:
-    """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens. window: tokens packed together.
+def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, segments: int = SEGMENTS, loss: int | None = None, window: int = WINDOW, mask_col: str | None = None) -> DataFrame:
+    """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens. window: tokens packed together, in PIECES pieces at most.
 
     loss: limit on a sequence's loss-bearing tokens, the capacity if None. mask_col: per token of the text (without the end id,
     which bears loss) whether it bears loss, as array<boolean>; null if all do.
@@ -209,13 +220,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col: str = "d
                 doc = (i, ids, before_each(mask, len(ids)))
                 pieces += cut_up(doc, capacity, loss)
                 held += len(doc[1])
-                if held >= window:
+                if held >= window or len(pieces) >= PIECES:
                     yield flush(False)
         if pieces:
             yield flush(True)
 
     columns = [docs[id_col].alias("id"), docs[text_col].alias("text")] + ([docs[mask_col].alias("mask")] if mask_col else [])
-    made = docs.select(*columns).mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long")
+    made = docs.select(*columns).mapInArrow(tidy(run), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long")
     return made.withColumnRenamed("id", id_col)
 
 

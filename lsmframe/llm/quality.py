@@ -5,9 +5,9 @@ thresholds. Lasso logistic regression weights the rules (most get none), and the
 column expression over the statistics columns. Statistics are taken of every whole text.
 
 Null and empty texts have statistics of 0 and are scored like others. Null labels are not learnt from; a document labelled
-more than once counts with its least label; with no labelled rows, or one class only, the score is the smoothed share of
-label 1. Repeated rows each get their row; an empty table gives none. The statistics' names begin with `_q_`, and clash
-with no column of a table that has none of these.
+more than once counts with its least label; with no labelled rows, one class only, or too few rows for a rule, the score is
+the smoothed share of label 1. Repeated rows each get their row; an empty table gives none. The statistics take names that clash with no column; a
+column named as the result gives way to it in `score`; `stage` gives back all columns as they were.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, table, text_list
+from .common import crc_mod, free_name, slices, table, text_list, tidy
 
 THRESHOLD = 0.3
 STATS = ["log_bytes", "log_words", "word_len", "upper", "digit", "stop_sign", "comma", "pipe", "bang", "odd_sign", "odd_words", "upper_words", "distinct", "top_word", "runs", "line_len", "same_lines", "odd_lines"]
@@ -50,15 +50,16 @@ def statistics(text: str) -> list[float]:
             sum([a == b for a, b in zip(words, words[1:], strict=False)]) / n, math.log1p(len(raw) / max(1, len(lines))), 1 - len(set(lines)) / max(1, len(lines)), bad_lines / max(1, len(text))]
 
 
-def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def with_statistics(docs: DataFrame, text_col: str = "text", prefix: str = PREFIX) -> DataFrame:
+    """docs with the statistics of their texts added, named prefix and statistic."""
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, at)):
             x = np.array([statistics(t) for t in text_list(b.column(at))], np.float64).reshape(-1, len(STATS))
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x[:, j]) for j in range(len(STATS)))], [*b.schema.names, *(PREFIX + s for s in STATS)])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x[:, j]) for j in range(len(STATS)))], [*b.schema.names, *(prefix + s for s in STATS)])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(PREFIX + s, T.DoubleType()) for s in STATS)]))
+    return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, *(T.StructField(prefix + s, T.DoubleType()) for s in STATS)]))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, above, threshold), all of which hold
@@ -138,8 +139,9 @@ class RuleEnsemble:
 
 
 def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty: float = 0.002, seed: int = 7) -> RuleEnsemble:
+    share = RuleEnsemble(math.log((y.sum() + 1) / (len(y) - y.sum() + 1)), [])
     if not len(y) or y.min() == y.max():
-        return RuleEnsemble(math.log((y.sum() + 1) / (len(y) - y.sum() + 1)), [])
+        return share
     rng, tries, rules = np.random.default_rng(seed), np.linspace(0.02, 0.98, 33), set()
     w = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for _ in range(trees):
@@ -151,6 +153,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, pen
         if (key := on.tobytes()) not in seen and 0 < on.sum() < len(y):
             seen.add(key)
             kept.append((rule, on))
+    if not kept:
+        return share
     z = np.array([on for _, on in kept], np.float64).T
     mean, scale = z.mean(axis=0), z.std(axis=0)
     b0, b = lasso((z - mean) / scale, y.astype(float), penalty)
@@ -168,7 +172,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, id_col: s
 
 
 def score(docs: DataFrame, model: RuleEnsemble, text_col: str = "text", name: str = "score") -> DataFrame:
-    return with_statistics(docs, text_col).withColumn(name, model.expression()).drop(*(PREFIX + s for s in STATS))
+    """docs with the score added; a column of that name gives way, all others stay."""
+    docs = docs.drop(name)
+    prefix = free_name(PREFIX, [*docs.columns, name])
+    return with_statistics(docs, text_col, prefix).withColumn(name, model.expression(prefix)).drop(*(prefix + s for s in STATS))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,4 +188,5 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents with a score of THRESHOLD or more."""
     model = fit(docs, table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0))
-    return score(docs, model, name="_quality_score").where(F.col("_quality_score") >= THRESHOLD).select(*docs.columns)
+    name = free_name("quality_score", docs.columns)
+    return score(docs, model, name=name).where(F.col(name) >= THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])

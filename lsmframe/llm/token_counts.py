@@ -1,7 +1,7 @@
 """Token counts without ids: pieces are counted once per distinct pre-token and joined to per-document frequencies.
 
 Each task holds the pre-token frequencies of one document at a time and a table pre-token -> pieces that lives as long as
-the Python worker, up to a fixed number of entries. The join is a look-up in that table, so nothing is shuffled: a table of
+the Python worker, up to a fixed number of entries, after which it starts anew. The join is a look-up in that table, so nothing is shuffled: a table of
 all distinct pre-tokens joined to all (document, pre-token) pairs would move more bytes than the texts have.
 
 Nulls and empty texts count 0 tokens; a null id stays null; repeated rows each get their row; an empty table gives none;
@@ -16,7 +16,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, text_list
+from .common import slices, table, text_list, tidy
 from .tokens import PieceCounts
 
 LIMIT = 512
@@ -66,12 +66,12 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         counts = _TABLES.get(tokenizer)
         if counts is None:
             counts = _TABLES[tokenizer] = PieceCounts(tokenizer)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, 1)):
             texts = text_list(b.column(1))
             n = [count_text(counts, x) for x in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_())], ["id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(tidy(run), f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, table, written
+from .common import scratch, table, tidy, written
 from .tokens import WordIds
 
 MAGIC = b"LSMTOK1\n"
@@ -65,9 +65,9 @@ def get(uri: str) -> bytes:
         return f.read()
 
 
-def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample_docs: int, dict_bytes: int) -> bytes:
+def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample_docs: int, dict_bytes: int, sample_bytes: int) -> bytes:
     """A dictionary from the whole id arrays of at most sample_docs documents, the first by hash of their ids, of which those
-    with more than 32 KiB of text are left out: a dictionary serves short documents, and the driver's share stays bounded.
+    with more than sample_bytes of text are left out: a dictionary serves short documents, and the driver's share stays bounded.
 
     Too few documents to train on: an empty dictionary, and frames without one.
     """
@@ -76,7 +76,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample_docs:
     enc = words(tokenizer)
     end = np.array([end_id], enc.kind).tobytes()
     rows = docs.select(F.xxhash64("id").alias("h"), F.col("id")).orderBy("h", "id").limit(sample_docs).select("id").distinct()
-    got = docs.join(F.broadcast(rows), "id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= 32_768).select("text").limit(sample_docs).collect()
+    short = docs.join(F.broadcast(rows), "id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes)
+    # ids may repeat, so the rows taken of them are fixed by an order of their own
+    got = short.orderBy(F.xxhash64("id"), "id", "text").limit(sample_docs).select("text").collect()
     made = [enc.encode(r.text) + end for r in got]
     try:
         return zstandard.train_dictionary(dict_bytes, made).as_bytes() if len(made) >= 16 else b""
@@ -114,14 +116,14 @@ class Shard:
         return np.frombuffer(raw, f"<u{self.width}")
 
 
-def write_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 2000, dict_bytes: int = 65_536, shard_size: int = 32 << 20, level: int = 3) -> DataFrame:
+def write_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 2000, dict_bytes: int = 65_536, sample_bytes: int = 32_768, shard_size: int = 32 << 20, level: int = 3) -> DataFrame:
     """Writes the shards below root and returns the manifest: shard path, n_docs, n_ids, lo and hi id, part and number.
 
     docs' rows are dealt by range of the id, so one shuffle moves the texts once. shard_size: bytes of ids, uncompressed.
     """
     spark = docs.sparkSession
     docs = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    dictionary = train_dictionary(docs, tokenizer, end_id, sample_docs, dict_bytes)
+    dictionary = train_dictionary(docs, tokenizer, end_id, sample_docs, dict_bytes, sample_bytes)
     name = f"{root}/{hashlib.sha256(dictionary).hexdigest()}.dict"
     put(name, dictionary)
 
@@ -154,8 +156,8 @@ def write_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int, id_col
         if ids:
             yield flush()
 
-    sort = ["id", "text"]
-    rows = docs.repartitionByRange(*sort[:1]).sortWithinPartitions(*sort).mapInArrow(run, "path string, part int, number int, n_docs long, n_ids long, lo long, hi long")
+    # text is part of the range, so that very many rows of one id, or of none, don't meet in one task
+    rows = docs.repartitionByRange("id", "text").sortWithinPartitions("id", "text").mapInArrow(tidy(run), "path string, part int, number int, n_docs long, n_ids long, lo long, hi long")
     made = written(rows, "manifest")
     return made.withColumn("dictionary", F.lit(name)).withColumn("start", F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
@@ -173,7 +175,7 @@ def read_shards(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(s.index["doc"], pa.int64(), mask=s.index["doc"] == NO_ID), pa.array(start, pa.int64()), pa.array(n), pa.array(crc, pa.int64()), pa.array(s.index["size"].astype(np.int64))], ["id", "start", "n_tokens", "ids_crc32", "stored_bytes"])
 
     tasks = max(2, manifest.sparkSession.sparkContext.defaultParallelism)
-    return manifest.select("path", "dictionary", "start").repartition(tasks).mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long, stored_bytes long").withColumnRenamed("id", id_col)
+    return manifest.select("path", "dictionary", "start").repartition(tasks).mapInArrow(tidy(run), "id long, start long, n_tokens long, ids_crc32 long, stored_bytes long").withColumnRenamed("id", id_col)
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,8 @@ def byte_letters() -> dict[int, str]:
 
 
 LETTERS = byte_letters()
+#: Chunks and pieces that a worker remembers, some 200 bytes each.
+KEEP = 250_000
 
 
 def spelled(piece: str) -> str:
@@ -59,7 +61,7 @@ class WordIds:
     keep bounds the chunks remembered; beyond it the memory starts anew. Null or empty text: no ids.
     """
 
-    def __init__(self, path: str, keep: int = 1_200_000):
+    def __init__(self, path: str, keep: int = KEEP):
         self.tok = load(path)
         with open(path, encoding="utf-8") as f:
             j = json.load(f)
@@ -106,7 +108,7 @@ class WordIds:
 class PieceCounts:
     """Pieces of each distinct pre-token of a byte-level BPE file: counted once, remembered up to `keep`."""
 
-    def __init__(self, path: str, keep: int = 1_200_000):
+    def __init__(self, path: str, keep: int = KEEP):
         self.tok = load(path)
         with open(path, encoding="utf-8") as f:
             j = json.load(f)

@@ -107,6 +107,11 @@ def test_op10_holds_the_loss_limit(spark, loss, masked):
 
 
 def brute(rows, size, num, den):
+    return sorted(((i is not None, i or 0), n, least or 0) for i, n, least in brute_rows(rows, size, num, den))
+
+
+def brute_rows(rows, size, num, den):
+    """(id, shingles, least id of the component) of each row, in order."""
     sets = []
     for _, t in rows:
         w = (t or "").encode().lower().split()
@@ -122,12 +127,37 @@ def brute(rows, size, num, den):
     for k, (i, _) in enumerate(rows):
         if i is not None:
             ids[find(k)].append(i)
-    return sorted(((r[0] is not None, r[0] or 0), len(sets[k]), min(ids[find(k)], default=None) or 0) for k, r in enumerate(rows))
+    return [(r[0], len(sets[k]), min(ids[find(k)], default=None)) for k, r in enumerate(rows)]
+
+
+def links_of(texts, size, num, den):
+    sets = [frozenset(tuple(w[k : k + min(size, len(w))]) for k in range(len(w) - min(size, len(w)) + 1)) if (w := (t or "").encode().lower().split()) else frozenset() for t in texts]
+    return {k: sum(bool(a) and j != k and den * len(a & b) >= num * len(a | b) for j, b in enumerate(sets)) for k, a in enumerate(sets)}
+
+
+def test_op4_deals_hot_shingles_and_classes_to_many_tasks(spark, monkeypatch):
+    """With blocks, chosen classes and hot classes of a few rows each: the same components and links."""
+    from lsmframe.llm import jaccard_join as j
+
+    for name, value in {"BLOCK": 5, "PIVOTS": 3, "HOT": 4, "FEW": 2, "NAMED": 3, "SMALL": 4, "FIRST": (2, 7)}.items():
+        monkeypatch.setattr(j, name, value)
+    rng = random.Random(2)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(70):
+        w = list(base) if k % 3 else [f"v{x}" for x in range(60)]
+        for at in rng.sample(range(60), rng.randrange(3)):
+            w[at] = f"x{rng.randrange(50)}"
+        rows.append((k, " ".join(w)))
+    rows += [(100 + k, "w0 w1 w2 " + " ".join(f"y{k}_{x}" for x in range(5))) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(((True, r.doc_id), r.n_shingles, r.component_id) for r in j.join_components(docs, 3, 90, 100).collect()) == brute(rows, 3, 90, 100)
+    assert {r.doc_id: r.n_links for r in j.join_links(docs, 3, 90, 100).collect()} == {rows[k][0]: n for k, n in links_of([t for _, t in rows], 3, 90, 100).items()}
 
 
 @pytest.mark.parametrize(("size", "num"), [(3, 90), (5, 80)])
 def test_op4_components_as_brute_force(spark, docs, empty, size, num):
-    from lsmframe.llm.jaccard_join import join_components
+    from lsmframe.llm.jaccard_join import join_components, join_links
 
     rng = random.Random(size)
     base = [f"w{k}" for k in range(120)]
@@ -139,6 +169,9 @@ def test_op4_components_as_brute_force(spark, docs, empty, size, num):
         near.append((1000 + k, " ".join(w)))
     common = [(2000 + k, " ".join(base[:12] + [f"y{k}_{j}" for j in range(rng.randrange(3, 40))])) for k in range(40)]
     rows = [(r.doc_id, r.text) for r in docs.collect()] + near + common
+    if size == 3:
+        links = join_links(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string"), size, num, 100)
+        assert {r.doc_id: r.n_links for r in links.collect()} == links_of([t for _, t in rows], size, num, 100)
     got = join_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), size, num, 100)
     assert sorted(((r.doc_id is not None, r.doc_id or 0), r.n_shingles, r.component_id or 0) for r in got.collect()) == brute(rows, size, num, 100)
     if size == 3:
@@ -272,8 +305,9 @@ def test_op5_reads_back(spark):
     for _ in range(3000):
         x = "".join(rng.choice(["\\", "<", "s", ">", "</s>", "[INST]", "<|turn|>", "<|", "é", "[", "/"]) for _ in range(rng.randrange(9)))
         assert unescape(escape(x)) == x and "<|turn|>" not in escape(x) and "</s>" not in escape(x) and "[INST]" not in escape(x)
-    text, start, n, found, tokens = format_turn("user", [{"type": "text", "text": "see <|image|>"}, {"type": "image", "ref": "r", "units": 2.0}, {"type": "audio", "ref": "s", "units": 0.5}, {"type": None, "text": "end"}])
-    assert text.count("<|image|>") == 1 and [a["ref"] for a in found] == ["r", "s"] and tokens == 1152 + 13 and n == 0 and start > 0
+    text, spans, found, tokens = format_turn("user", [{"type": "text", "text": "see <|image|>"}, {"type": "image", "ref": "r", "units": 2.0}, {"type": "audio", "ref": "s", "units": 0.5}, {"type": None, "text": "end"}])
+    assert text.count("<|image|>") == 1 and [a["ref"] for a in found] == ["r", "s"] and tokens == 1152 + 13 and spans == []
+    assert [text[a["start"] :].startswith(m) for a, m in zip(found, ("<|image|>", "<|audio|>"), strict=True)] == [True, True] and [a["tokens_before"] for a in found] == [0, 1152]
     got = {r.conv_id: r for r in op5_chat_format(spark, DATA).collect()}
     said = "</s>[INST] ok [/INST]"
     assert got[-1].loss_sha256 == hashlib.sha256(said.encode()).hexdigest() and got[-1].turns_sha256 == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
@@ -283,6 +317,8 @@ def test_op5_reads_back(spark):
         assert got[c].loss_sha256 == hashlib.sha256(said.encode()).hexdigest() and got[c].loss_chars == len(said) and got[c].n_turns == len(g)
     odd = spark.createDataFrame([(None, 0, "user", "x"), (1, None, None, None), (1, 1, "assistant", ""), (1, 1, "assistant", "")], "conv_id long, turn long, role string, text string")
     assert {r.conv_id: r.n_turns for r in read_back(format_turns(odd)).collect()} == {None: 1, 1: 3}
+    alone = spark.createDataFrame([(None, k % 2, "user", "x") for k in range(30)], "conv_id long, turn long, role string, text string")
+    assert [r.n_turns for r in read_back(format_turns(alone)).collect()] == [1] * 30
     assert read_back(format_turns(odd.where("false"))).count() == 0
 
 
@@ -326,17 +362,62 @@ def test_op8_every_shard_fits(spark, docs, empty):
     assert shard(empty, "doc_id", "text").count() == 0
 
 
+def test_pipeline_against_a_plain_version(spark, tmp_path):
+    """run() over planted copies, benchmark passages, junk and clean documents: each stage's decisions by plain Python."""
+    import re
+
+    import numpy as np
+
+    import corpus_pipeline as c
+    from lsmframe.llm import language_id, quality
+    from lsmframe.llm.common import crc_mod, table
+
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{DATA}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    real = spark.read.parquet(f"{DATA}/documents.parquet")
+    first = real.where("length(text) > 600").orderBy("doc_id").limit(3).collect()
+    more = [(90_000 + k, t, r.lang, r.source, 1) for r in first for k, t in ((r.doc_id, r.text), (1000 + r.doc_id, r.text + " and"), (2000 + r.doc_id, r.text.upper()))]
+    more += [(95_000, None, "en", "x", 0), (95_001, "½ ² 12", "en", "x", 0), (None, first[0].text, "en", "x", 0), (95_002, first[1].text + " " + real.sparkSession.read.parquet(f"{DATA}/benchmark.parquet").first().text, "en", "x", 1)]
+    real.unionByName(spark.createDataFrame(more, real.schema)).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = table(spark, str(tmp_path), "documents")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+
+    scorer = language_id.Scorer(language_id.fit(docs.where(crc_mod("doc_id", 4) != 2)))
+    kept = [r for r in rows if (p := scorer.predict(r[1] or ""))[0] != "und" and p[1] >= 0.4]
+    ids = spark.createDataFrame(kept, "doc_id long, text string")
+    model = quality.fit(ids, table(spark, str(tmp_path), "labels").where(crc_mod("doc_id", 5) != 0))
+    kept = [r for r, p in zip(kept, model.score(np.array([quality.statistics(t) for _, t in kept])), strict=True) if p >= quality.THRESHOLD]
+    parts = [x[2] for x in brute_rows(kept, 5, 80, 100)]
+    kept = [r for r, least in zip(kept, parts, strict=True) if r[0] is None or least is None or least == r[0]]
+    norm = lambda t: " " + " ".join(re.findall(r"\w+", (t or "").lower())) + " "
+    items = [norm(r.text) for r in table(spark, str(tmp_path), "benchmark").collect()]
+    kept = [r for r in kept if not any(i in norm(r[1]) for i in items)]
+    to_ids = ids_of(P.path("word_bpe_49k.json"), 1)
+
+    out = c.run(spark, str(tmp_path)).toPandas()
+    want = sorted((-1 if i is None else i, len(to_ids(t)), crc(to_ids(t))) for i, t in kept)
+    got = []
+    for (i, _), g in out.assign(key=out.doc_id.fillna(-1)).groupby(["key", "doc_tokens"]):
+        g = g.sort_values("start")
+        assert list(g.start) == [0, *g.length.cumsum()[:-1]]
+        text = next(t for j, t in kept if (-1 if j is None else j) == i)
+        assert all(crc(to_ids(text)[r.start : r.start + r.length]) == r.ids_crc32 for r in g.itertuples())
+        got.append((int(i), int(g.length.sum()), crc(to_ids(text))))
+    assert sorted(got) == want and 0 < len(kept) < len(rows) - len(more)
+    sizes = out.groupby("sequence_id").length.sum()
+    assert all(n == 2048 or n & (n - 1) == 0 for n in sizes)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as c
     from lsmframe.llm.common import table
 
-    docs = table(spark, DATA, "documents")
+    docs = table(spark, DATA, "documents").limit(40).selectExpr("*", "'u' as score", "1 as _q_digit", "2 as lang_pred", "3 as quality_score", "4 as n_bytes")
     for name, stage in c.STAGES[:-1]:
         kept = stage(spark, docs, DATA)
-        assert kept.columns == docs.columns, name
-        docs = spark.createDataFrame(kept.toPandas(), kept.schema)
-    out = c.STAGES[-1][1](spark, docs, DATA).toPandas()
-    assert set(out.doc_id) == {r.doc_id for r in docs.collect()}
+        assert kept.schema == docs.schema, name
+        assert set(map(tuple, kept.collect())) <= set(map(tuple, docs.collect())), name
+    assert c.STAGES[-1][1](spark, docs.where("false"), DATA).count() == 0
 
 
 def test_language_sample_is_the_first_by_hash(spark):
@@ -351,3 +432,241 @@ def test_language_sample_is_the_first_by_hash(spark):
         expected = [x for lang in "abc" for x in sorted((r for r in ids if r[1] == lang), key=lambda r: (hashes[r[0]], r[0]))[:k]]
         assert sorted(map(tuple, language_id.first_by_hash(rows, k).collect())) == sorted(expected)
     assert language_id.first_by_hash(rows.limit(0), 5).count() == 0
+
+
+def test_op10_places_counts_as_one_by_one():
+    import numpy as np
+
+    from lsmframe.llm.packing import place
+
+    def plain(sizes, limits):
+        scaled = sizes / limits
+        weighted = scaled * (scaled.sum(axis=0) / scaled.sum(axis=0).max())
+        left, bins = sorted(range(len(sizes)), key=lambda k: (tuple(-sizes[k]), k)), []
+        while left:
+            room, inside = limits.copy(), []
+            while ok := [k for k in left if (sizes[k] <= room).all()]:
+                scores = [float(weighted[k] @ (room / limits)) for k in ok]
+                inside.append(ok[next(j for j, x in enumerate(scores) if x >= max(scores) - 1e-12)])
+                room = room - sizes[inside[-1]]
+                left.remove(inside[-1])
+            bins.append(inside)
+        return bins
+
+    rng, limits = np.random.default_rng(3), np.array([300, 7, 200])
+    for _ in range(20):
+        n = rng.integers(1, 200, 60)
+        sizes = np.stack([n, np.ones(60, int), np.minimum(200, rng.integers(0, n + 1))], axis=1)
+        got = place(sizes, limits)
+        assert sorted(k for b in got for k in b) == list(range(60)) and all((sizes[b].sum(axis=0) <= limits).all() for b in got)
+        assert [[tuple(sizes[k]) for k in b] for b in got] == [[tuple(sizes[k]) for k in b] for b in plain(sizes, limits)]
+
+
+def test_op10_packs_very_many_short_texts_in_a_window_fast():
+    import time
+
+    import numpy as np
+
+    from lsmframe.llm.packing import Piece, pack_window
+
+    doc = (1, np.ones(1, np.uint16), None)
+    began = time.time()
+    rows, left = pack_window([Piece(doc, 0, 1) for _ in range(200_000)], 2048, 256, 2048, True)
+    assert not left and sum(len(r) for r in rows) == 200_000 and max(len(r) for r in rows) <= 256 and time.time() - began < 20
+
+
+def test_op8_splits_only_what_is_too_large(spark):
+    import hashlib as h
+
+    from lsmframe.llm.sharding import shard
+
+    bits = lambda k: format(int(h.md5(str(k).encode()).hexdigest()[:15], 16), "060b")
+    rng = random.Random(1)
+    for sizes, limit in (([100] * 41, 1000), ([rng.randrange(1, 900) for _ in range(300)], 1000), ([5] * 30, 6), ([1], 5), ([50] * 3, 10)):
+        rows = [(k, "x" * n) for k, n in enumerate(sizes)]
+
+        def buckets(prefix, inside):
+            if sum(len(t) for _, t in inside) <= limit or len(prefix) == 60:
+                return {k: prefix for k, _ in inside}
+            return {k: v for b in "01" for k, v in buckets(prefix + b, [r for r in inside if bits(r[0]).startswith(prefix + b)]).items()}
+
+        got = shard(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", limit).collect()
+        assert {r.doc_id: r.shard.partition(".")[0] for r in got} == buckets("", rows)
+    hot = spark.createDataFrame([(None, "x" * (k % 7)) for k in range(500)] + [(3, "y" * 50)], "doc_id long, text string")
+    got = shard(hot, "doc_id", "text", 40, chunk=50).toPandas()
+    by = got.groupby("shard").n_bytes.agg(["sum", "size"])
+    assert len(got) == 501 and (by["sum"] <= 40)[by["size"] > 1].all() and (got.groupby("shard").shard_rows.first() == by["size"]).all()
+
+
+def test_op9_letters_shares_and_plain_backoff(spark):
+    from collections import Counter
+
+    import numpy as np
+    import regex
+
+    from lsmframe.llm import language_id as li
+
+    assert li.words_of("½ ² ① 12 _") == {} and set(li.words_of("हिन्दी में é́a x2y")) == {"हिन्दी", "में", "é́a", "x", "y"}
+    rng = random.Random(6)
+    vocab = {lang: [lang + "".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 7))) for _ in range(80)] for lang in ("x", "y", "z")}
+    rows = [(k, " ".join(rng.choices(vocab[lang], k=30)), lang) for k, lang in enumerate(["x"] * 300 + ["y"] * 20 + ["z"] * 3)]
+    docs = spark.createDataFrame(rows + [(None, "q", "x"), (1000, None, "x"), (1001, "w", None)], "doc_id long, text string, lang string")
+    model = li.fit(docs, max_words=90, max_grams=300)
+    counts = {lang: Counter(w for _, t, g in rows if g == lang for w in regex.findall(r"\p{L}[\p{L}\p{M}]*", t.lower())) for lang in "xyz"}
+    share = {lang: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:30]] for lang, c in counts.items()}
+    assert model.langs == ["x", "y", "z"] and set(model.words) == {w for ws in share.values() for w in ws} and all(len(ws) == 30 for ws in share.values())
+
+    def log(table, key, keys):
+        raw = [np.log((table[g][key] + 0.5) / (sum(table[g].values()) + 0.5 * len(keys))) for g in "xyz"]
+        return np.array(raw) - np.mean(raw)
+
+    grams = {n: {g: Counter() for g in "xyz"} for n in li.ORDERS}
+    for g, c in counts.items():
+        for w, times in c.items():
+            for n in li.ORDERS:
+                marked = f"^{w}$" if n > 1 else w
+                for k in range(len(marked) - n + 1):
+                    grams[n][g][marked[k : k + n]] += times
+    known = {n: sorted({k for c in grams[n].values() for k, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:20]}) for n in li.ORDERS}
+
+    def plain(text):
+        total, size = np.zeros(3), 0
+        for w in regex.findall(r"\p{L}[\p{L}\p{M}]*", text.lower()):
+            size += 1
+            if w in model.words:
+                total += log(counts, w, model.words)
+                continue
+            for n in li.ORDERS:
+                marked = f"^{w}$" if n > 1 else w
+                if found := [marked[k : k + n] for k in range(len(marked) - n + 1) if marked[k : k + n] in known[n]]:
+                    total += np.mean([log(grams[n], f, known[n]) for f in found], axis=0)
+                    break
+        z = total * min(li.EVIDENCE, size) / size
+        p = np.exp(z - z.max())
+        return "xyz"[int(p.argmax())], float(p.max() / p.sum())
+
+    texts = [t for _, t, _ in rows[::40]] + ["xab ya zed", "unseen words here", "éé xa"]
+    scorer = li.Scorer(model)
+    for t in texts:
+        (lang, score), (want, p) = scorer.predict(t), plain(t)
+        assert lang == want and abs(score - p) < 1e-4
+    got = li.predict(spark.createDataFrame([("½ ² ①", 1), (None, 2), ("xab", 3)], "text string, score int"), model)
+    assert got.columns == ["text", "lang_pred", "score"] and [r.lang_pred for r in got.collect()][:2] == ["und", "und"]
+
+
+def test_op7_rules_and_lasso():
+    import numpy as np
+
+    from lsmframe.llm.quality import fit_rules, grow, lasso
+
+    rng = np.random.default_rng(0)
+    x = rng.random((2000, 4))
+    y = ((x[:, 2] > 0.7) & (x[:, 0] <= 0.5)).astype(float)
+    rules = grow(x, y, np.ones(2000), 2, np.linspace(0.02, 0.98, 33), np.random.default_rng(4))
+    assert any({(j, above) for j, above, _ in r} == {(2, True), (0, False)} or {j for j, _, _ in r} <= {0, 2} for r in rules)
+    model = fit_rules(x, y.astype(int))
+    assert ((model.score(x) >= 0.5) == (y == 1)).mean() > 0.97 and len(model.rules) < 200
+    z = rng.normal(size=(500, 12))
+    t = (z[:, 0] * 2 - z[:, 1] + rng.normal(size=500) > 0).astype(float)
+    for penalty in (0.02, 0.1):
+        b0, b = lasso((z - z.mean(axis=0)) / z.std(axis=0), t, penalty, 4000)
+        p = 1 / (1 + np.exp(-(b0 + ((z - z.mean(axis=0)) / z.std(axis=0)) @ b)))
+        slope = ((z - z.mean(axis=0)) / z.std(axis=0)).T @ (p - t) / 500  # what an optimum of the penalised loss has to meet
+        assert abs((p - t).mean()) < 1e-4 and np.all(np.abs(slope[b == 0]) <= penalty + 1e-4) and np.allclose(slope[b != 0], -penalty * np.sign(b[b != 0]), atol=1e-4)
+        assert 0 < (b != 0).sum() < 12
+
+
+def test_op2_other_scripts_and_merged_values(spark):
+    from lsmframe.llm.decontamination import Canon, Index, find_contaminated
+
+    item = "東京から大阪まで新幹線で行くと何時間かかりますか。"
+    assert contained_in(item, f"質問です。{item}答えは") and not contained_in(item, "大阪の天気は晴れで、東京は雨が降っていました。")
+    for text in ("What is 2+2?", "7 km 8 kg 9 cm 10 days 11 hours 12 g 13 lb", "Paul goes home and reads the long book of the sea with Paul again"):
+        assert contained_in(text, text)
+    assert contained_in("Paul goes home and reads the long book of the sea", "Paul Smith goes home and reads the long book of the sea")
+    two = "He had 12 red apples and then he had 30 green pears in the box"
+    found = Index([(1, two)]).find(Canon().tokens([two.replace("12", "20").replace("30", "20")]))
+    assert len(found) == 1 and found[0][5:] == (False, 1)
+    assert not contained_in("He had 12 red apples and then 12 green pears", "He had 13 red apples and then 14 green pears")
+    rng = random.Random(3)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    names = ["Anna", "Bob", "Eve", "Jim", "Maria", "Tom"]
+    items = [" ".join([*rng.sample(words, 6), "#0", *rng.sample(words, 5), "@0", "#1", *rng.sample(words, 6), "@1", *rng.sample(words, 3), "#0."]) for _ in range(40)]
+
+    def asked(item):
+        a, n = rng.sample(names, 2), rng.sample(range(2, 99), 2)
+        return item.replace("#0", str(n[0])).replace("#1", str(n[1])).replace("@0", a[0]).replace("@1", a[1])
+
+    bench = spark.createDataFrame([(k, asked(x)) for k, x in enumerate(items)], "item_id int, text string")
+    planted = {100 + k: rng.randrange(40) for k in range(60)}
+    rows = [(i, f"{' '.join(rng.choices(words, k=30))}. {asked(items[k])} {' '.join(rng.choices(words, k=30))}") for i, k in planted.items()]
+    rows += [(k, f"{' '.join(rng.choices(words, k=20))} {rng.randrange(99)} {rng.choice(names)} {' '.join(rng.choices(words, k=20))}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in find_contaminated(docs, bench).collect()} == set(planted.items())
+    one, many = (sorted(map(tuple, find_contaminated(docs, bench, block_bytes=n).collect())) for n in (8 << 20, 500))
+    assert one == many
+
+
+def test_op3_parses_ordinary_pages():
+    from lsmframe.llm.media import parse
+
+    refs = lambda html: [(i["kind"], i["ref"] or i["text"], i["caption"]) for i in parse(html)]
+    assert refs('<figure><figcaption>cap</figcaption><img src="a.png"></figure>') == [("image", "a.png", "cap")]
+    assert refs('<video poster="p.png"><source src="v.mp4"><source src="w.webm">no video</video>after') == [("video", "v.mp4", None), ("text", "no video", None), ("text", "after", None)]
+    assert refs('<audio><source src="a.ogg"></audio><audio src="b.ogg"/>x') == [("audio", "a.ogg", None), ("audio", "b.ogg", None), ("text", "x", None)]
+    assert refs('<img srcset="s.png 1x, b.png 2x" alt="q"><img data-src="lazy.png" src="data:image/gif;base64,R0"><img alt="none">') == [("image", "s.png", "q"), ("image", "lazy.png", None), ("image", None, "none")]
+    assert refs('<picture><source srcset="big.webp 2x"><img alt="p"></picture><img>') == [("image", "big.webp", "p"), ("image", None, None)]
+    assert refs('<html><head><title>t</title><p>one<figure><img src=r><figcaption>cap') == [("text", "one", None), ("image", "r", "cap")]
+
+
+def test_op3_every_column_by_plain_python(spark):
+    import numpy as np
+
+    from lsmframe.llm.media import op3_media, png
+
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = op3_media(spark, DATA).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        data = docs[r.doc_id]
+        payload = data + b"\xff" * (max(1, -(-len(data) // 576)) * 576 - len(data))
+        stored, x = png(payload), np.frombuffer(payload, np.uint8).astype(float)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.media_bytes, r.media_sha256, r.caption, r.position) == (len(stored), hashlib.sha256(stored).hexdigest(), f"{len(data)} bytes", 1)
+        mean, dev, *shares = map(float, r.feature.split(","))
+        assert abs(mean - x.mean()) < 1e-5 and abs(dev - x.std()) < 1e-4 and shares == [int((x // 32 == k).sum()) * 1_000_000 // len(x) for k in range(8)]
+
+
+def test_op5_typed_parts_read_back(spark):
+    from lsmframe.llm.chat import PART, expanded, format_turns, read_parts
+
+    rng = random.Random(9)
+    texts = ["", "a <|image|>b", "\\<|part|>", "x<|end|>", "plain"]
+    turns = []
+    for k in range(60):
+        parts = [(rng.choice(["text", "image", "audio", "document", None, "chart"]), rng.choice([*texts, None]), f"r{j}", rng.choice([None, 0.0, 2.0, -1.0])) for j in range(rng.randrange(5))]
+        turns.append((k, 0, rng.choice(["user", "assistant", "<|text|>"]), parts if k else None))
+    df = spark.createDataFrame(turns, f"conv_id long, turn long, role string, parts array<{PART}>")
+    rates = {"image": 576, "audio": 25, "document": 700}
+    for r in format_turns(df, parts_col="parts").collect():
+        _, _, role, parts = turns[r.conv_id]
+        want = []
+        for kind, text, ref, units in parts or [("text", None, None, None)]:
+            kind = kind or "text"
+            kind = kind if kind in ("text", "image", "audio") else "document"
+            want.append({"type": kind, "text": text or "", "ref": None if kind == "text" else ref, "tokens": 0 if kind == "text" else int(rates[kind] * (1 if units is None else max(0, units)))})
+        assert read_parts(r.formatted, r.attachments) == (role, want)
+        spans = [r.formatted[s.start : s.start + s.length] for s in r.loss]
+        assert len(spans) == (sum(w["type"] == "text" for w in want) if role == "assistant" else 0)
+        assert r.attachment_tokens == sum(w["tokens"] for w in want) == expanded(len(r.formatted), r.attachments) + len(r.attachments)
+        assert [a.position for a in r.attachments] == list(range(len(r.attachments))) and all(r.formatted[a.start :].startswith(f"<|{a.type}|>") for a in r.attachments)
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from lsmframe.sources.shared import shared_dir
+
+    sc = SimpleNamespace(master="spark://host:7077", getConf=lambda: {}, getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=sc))
