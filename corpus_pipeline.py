@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lsmframe.llm import decontamination, jaccard_join, language_id, packing, quality
-from lsmframe.llm.common import table, written
+from lsmframe.llm.common import discard, table, written
 
 
 def recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +41,15 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: The stages learn models and hash shingles, which SQL does not express; no test holds run()'s rows against a plain version yet.
+#: The stages learn models and hash shingles, which SQL does not express; a test holds run()'s rows against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces. Each stage's table stands in the shared folder until the next one's is written; the last one's stays
+    for the result, which reads it."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage")
+        was, docs = docs, written(stage(spark, docs, sf_dir), "stage")
+        discard(was)
     return STAGES[-1][1](spark, docs, sf_dir)
