@@ -89,7 +89,7 @@ class Model:
 class Scorer(dict):
     """A worker's words with their rows in `vectors`; beyond `keep` words it starts anew."""
 
-    def __init__(self, model: Model, keep: int = 150_000):
+    def __init__(self, model: Model, keep: int = 300_000):
         self.model, self.keep = model, keep
         self.vectors = np.zeros((1 << 14, len(model.langs)), np.float32)
 

@@ -1,7 +1,7 @@
 """Token counts without ids: pieces are counted once per distinct pre-token and joined to per-document frequencies.
 
 Each task holds the pre-token frequencies of one document at a time and a table pre-token -> pieces that lives as long as
-the Python worker, up to a fixed number of entries, after which it starts anew. The join is a look-up in that table, so nothing is shuffled: a table of
+the Python worker, of a bounded number of entries. The join is a look-up in that table, so nothing is shuffled: a table of
 all distinct pre-tokens joined to all (document, pre-token) pairs would move more bytes than the texts have.
 
 Nulls and empty texts count 0 tokens; a null id stays null; repeated rows each get their row; an empty table gives none;
@@ -37,25 +37,13 @@ def frequencies(text: str) -> Counter:
     return units
 
 
-def pieces_of(counts: PieceCounts, unit: str) -> int:
-    n = counts.known.get(unit)
-    if n is None:
-        n = 1 + counts.count(unit[1:]) if unit[0] == "\n" and unit[1:] and not unit[1].isspace() and not counts.special.search(unit) else counts.count(unit)
-        if len(unit) <= 60:
-            counts.known[unit] = n
-    return n
-
-
 def count_text(counts: PieceCounts, text: str) -> int:
     if not text:
         return 0
     if not counts.by_word:
         return len(counts.tok.encode(text, add_special_tokens=False).ids)
-    if len(counts.known) > counts.keep or len(counts.pieces) > counts.keep:
-        counts.known.clear()
-        counts.pieces.clear()
     known = counts.known
-    return sum([n * (known[u] if u in known else pieces_of(counts, u)) for u, n in frequencies(text).items()])
+    return sum([n * known[u] for u, n in frequencies(text).items()])
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:

@@ -1,7 +1,8 @@
 """Ids and piece counts by the tokenizers library, one library call per distinct chunk of text.
 
 Both tokenizer files in use split texts at white space before they merge pieces, so a text's ids are the ids of its
-chunks in order. A worker keeps chunk -> ids in a dictionary of bounded size; chunks outside plain Latin letters, digits
+chunks in order. A worker keeps chunk -> ids in a dictionary of bounded size, from which chunks go that aren't met again;
+chunks outside plain Latin letters, digits
 and ASCII signs always go to the library whole. Other kinds of .json files are encoded text by text.
 """
 
@@ -27,8 +28,8 @@ def byte_letters() -> dict[int, str]:
 
 
 LETTERS = byte_letters()
-#: Chunks and pieces that a worker remembers, some 200 bytes each.
-KEEP = 250_000
+#: Chunks and pieces that a generation of a worker's memory holds, some 200 bytes each.
+KEEP = 500_000
 
 
 def spelled(piece: str) -> str:
@@ -42,23 +43,29 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
-class Chunks(dict):
-    """Chunk -> ids; what is missing is encoded, and kept unless it is long."""
+class Remembered(dict):
+    """make(key) by key. Two generations of `keep` entries each: when one is full it becomes the old one, from which keys that
+    are met again come back. Keys of more than `longest` characters aren't kept."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, keep: int, longest: int):
+        self.make, self.keep, self.longest, self.old = make, keep, longest, {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.make(chunk)
-        if len(chunk) <= 60:
-            self[chunk] = ids
-        return ids
+    def __missing__(self, key: str):
+        if len(self) >= self.keep:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= self.longest:
+            self[key] = found
+        return found
 
 
 class WordIds:
     """Ids of whole texts, as little-endian unsigned integers of `width` bytes.
 
-    keep bounds the chunks remembered; beyond it the memory starts anew. Null or empty text: no ids.
+    keep bounds what is remembered. Null or empty text: no ids.
     """
 
     def __init__(self, path: str, keep: int = KEEP):
@@ -71,36 +78,24 @@ class WordIds:
         splits = [(x.get("type"), x.get("behavior"), x.get("use_regex")) for x in (j.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and splits == [("Split", "Removed", None), ("ByteLevel", None, False)] and not any(" " in x["content"] or "\n" in x["content"] for x in j["added_tokens"])
         self.special = re.compile("|".join(re.escape(x["content"]) for x in j["added_tokens"]) or r"(?!)")
-        self.model, self.keep = self.tok.model, keep
-        self.known = Chunks(self.chunk)
-        self.pieces: dict[str, bytes] = {}
+        self.model = self.tok.model
+        self.known = Remembered(self.chunk, keep, 60)
+        self.pieces = Remembered(lambda p: self.packed([t.id for t in self.model.tokenize(spelled(p))]), keep, 40)
 
     def packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
     def chunk(self, chunk: str) -> bytes:
         if PLAIN.match(chunk) and not self.special.search(chunk):
-            out = []
-            for p in WORD_PIECES.findall(chunk.lower()):
-                ids = self.pieces.get(p)
-                if ids is None:
-                    ids = self.packed([t.id for t in self.model.tokenize(spelled(p))])
-                    if len(p) <= 40:
-                        self.pieces[p] = ids
-                out.append(ids)
-            ids = b"".join(out)
-        else:
-            ids = self.packed(self.tok.encode(chunk, add_special_tokens=False).ids)
-        return ids
+            pieces = self.pieces
+            return b"".join([pieces[p] for p in WORD_PIECES.findall(chunk.lower())])
+        return self.packed(self.tok.encode(chunk, add_special_tokens=False).ids)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not self.by_word:
             return self.packed(self.tok.encode(text, add_special_tokens=False).ids)
-        if len(self.known) > self.keep or len(self.pieces) > self.keep:
-            self.known.clear()
-            self.pieces.clear()
         known = self.known
         return b"".join([known[c] for c in text.replace("\n", " ").split(" ")])
 
@@ -115,21 +110,15 @@ class PieceCounts:
         pre = j.get("pre_tokenizer") or {}
         self.by_word = not j.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not any(re.search(r"\s", x["content"]) for x in j["added_tokens"])
         self.special = re.compile("|".join(re.escape(x["content"]) for x in j["added_tokens"]) or r"(?!)")
-        self.model, self.keep = self.tok.model, keep
-        self.pieces: dict[str, int] = {}
-        self.known: dict[str, int] = {}
+        self.model = self.tok.model
+        self.pieces = Remembered(lambda p: len(self.model.tokenize(spelled(p))), keep, 40)
+        self.known = Remembered(self.count, keep, 60)
 
     def count(self, unit: str) -> int:
-        """Pieces of a unit: a stretch that white space sets apart, with the one space before it."""
+        """Pieces of a unit: a stretch that white space sets apart, with the one space or line end before it."""
+        if unit[0] == "\n" and unit[1:] and not unit[1].isspace() and not self.special.search(unit):
+            return 1 + self.count(unit[1:])
         if PLAIN.match(unit.lstrip(" ")) and unit[:2] != "  " and not self.special.search(unit):
-            n = 0
-            for p in BYTE_PIECES.findall(unit):
-                k = self.pieces.get(p)
-                if k is None:
-                    k = len(self.model.tokenize(spelled(p)))
-                    if len(p) <= 40:
-                        self.pieces[p] = k
-                n += k
-        else:
-            n = len(self.tok.encode(unit, add_special_tokens=False).ids)
-        return n
+            pieces = self.pieces
+            return sum([pieces[p] for p in BYTE_PIECES.findall(unit)])
+        return len(self.tok.encode(unit, add_special_tokens=False).ids)
