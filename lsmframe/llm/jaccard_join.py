@@ -9,8 +9,9 @@
    (numbers of shingles in sixteen hash ranges bound the symmetric difference from below).
 3. Candidate pairs are made distinct, pass the suffix filter on 256 ranges and are verified on whole sets.
 4. A shingle that more than SMALL classes share, as in large groups of near copies, isn't expanded into all pairs. In rounds
-   some 4, 64, 1024, ... of its classes, chosen by hash, are compared with all others, but only across components: a pair
-   already connected by links can't change the components. Rounds go on until no shingle has classes of two components left
+   some 2, 16, 128, ... of its classes are compared with all others, but only across components: a pair already connected by
+   links can't change the components. Classes are chosen by a hash of their own, so shingles of the same classes, as near
+   copies have many, choose the same. Rounds go on until no shingle has classes of two components left
    uncompared, so no link between components is lost, and nothing is capped. The rows of a shingle are dealt to tasks in
    blocks, to each of which its chosen classes go, so no shingle is one task's work. `join_links` compares all with all and
    gives every link between classes, and each row's number of links.
@@ -34,10 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import discard, slices, table, tidy, written
 
-SLOTS, SPANS, SMALL, FIRST, GROWTH = 1 << 21, 1 << 10, 16, (4, 64, 1024), 32
+SLOTS, SPANS, SMALL, FIRST, GROWTH = 1 << 21, 1 << 10, 16, (2, 16), 8
 #: Rows of a shingle that meet in a task at least, chosen classes that it holds at most, pairs of a class that make it hot,
 #: rows of a table that are broadcast at most, classes that a task remembers as named.
-BLOCK, PIVOTS, HOT, FEW, NAMED = 512, 1 << 15, 1 << 13, 1 << 18, 1 << 19
+BLOCK, PIVOTS, HOT, FEW, NAMED = 512, 1 << 15, 1 << 16, 1 << 18, 1 << 19
 BITS = 1 << 23
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -355,9 +356,9 @@ def of_grams(rows: DataFrame, grams: DataFrame) -> DataFrame:
 
 def compared(rows: DataFrame, tested: int, first: int, num: int, den: int) -> DataFrame:
     """Candidates among rows (gram, cls, n, pos, sig, sig2, comp, m), m being the classes of the shingle: the classes chosen at
-    numbers tested..first-1 of 0..m-1, which a hash gives them, with all of other components."""
+    numbers tested..first-1 of 0..m-1, to which their hash is scaled, with all of other components."""
     blocks = F.ceil(F.col("m") / F.lit(max(BLOCK, min(first, PIVOTS)))).cast("int")
-    number = F.pmod(F.xxhash64("cls"), F.col("m"))
+    number = F.floor(F.pmod(F.xxhash64("cls"), F.lit(1 << 40)) / F.lit(float(1 << 40)) * F.col("m"))
     chunks = -(-(first - tested) // PIVOTS)
     chosen = rows.withColumn("number", number).where(F.col("number").between(tested, first - 1))
     chosen = chosen.select("gram", *ROW, "comp", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.floor((F.col("number") - tested) / PIVOTS).cast("int").alias("chunk"), F.lit(0).alias("side"))
@@ -367,9 +368,11 @@ def compared(rows: DataFrame, tested: int, first: int, num: int, den: int) -> Da
     return dealt.mapInArrow(tidy(lambda it: large_groups(it, num, den)), PAIR)
 
 
-def attached(pairs: DataFrame, of: DataFrame, side: str, other: str, columns: list[str]) -> DataFrame:
-    """pairs with the columns of `of` for the class on a side, named with the side after them."""
+def attached(pairs: DataFrame, of: DataFrame, side: str, other: str, columns: list[str], most: int) -> DataFrame:
+    """pairs with the columns of `of` for the class on a side, named with the side after them. most: the number of pairs."""
     data = of.select(F.col("cls").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+    if most <= HOT:
+        return pairs.join(data, side)
     hot = written(pairs.groupBy(side).agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1"), "hot")
     if hot.isEmpty():
         return pairs.join(data, side)
@@ -379,6 +382,15 @@ def attached(pairs: DataFrame, of: DataFrame, side: str, other: str, columns: li
     return spread.join(data, [side, "part"]).drop("part")
 
 
+def both_sides(pairs: DataFrame, of: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Written pairs with the columns of `of` for both classes, and the table of the rows of `of` that they need. Where pairs are
+    few, the others aren't shuffled."""
+    most = pairs.count()
+    names = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    needed = written(of.join(F.broadcast(names) if most <= FEW else names, "cls", "left_semi").select("cls", *columns), "needed")
+    return attached(attached(pairs, needed, "a", "b", columns, most), needed, "b", "a", columns, most), needed
+
+
 def near_enough(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """The distinct pairs that pass the suffix filter on 256 ranges, for which no shingles are moved."""
 
@@ -391,9 +403,9 @@ def near_enough(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> Dat
             yield b.select(["a", "b"]).filter(pa.array(ok))
 
     distinct = written(pairs.select("a", "b").distinct(), "pairs")
-    both = attached(attached(distinct, classes, "a", "b", ["n", "ranges"]), classes, "b", "a", ["n", "ranges"])
+    both, needed = both_sides(distinct, classes, ["n", "ranges"])
     near = written(both.select("a", "b", "ranges_a", "ranges_b", (F.col("n_a") + F.col("n_b")).alias("n")).mapInArrow(tidy(run), "a binary, b binary"), "near")
-    discard(distinct)
+    discard(distinct, needed)
     return near
 
 
@@ -432,9 +444,11 @@ def sets_of(docs: DataFrame, names: DataFrame, classes: DataFrame, size: int) ->
 
 def verified(near: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose sets reach the threshold."""
-    both = attached(attached(near, sets, "a", "b", ["n", "shingles"]), sets, "b", "a", ["n", "shingles"])
+    both, needed = both_sides(near, sets, ["n", "shingles"])
     same = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    return written(both.where(same * (num + den) >= (F.col("n_a") + F.col("n_b")) * num).select("a", "b"), "links")
+    links = written(both.where(same * (num + den) >= (F.col("n_a") + F.col("n_b")) * num).select("a", "b"), "links")
+    discard(needed)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
