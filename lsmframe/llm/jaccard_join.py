@@ -37,8 +37,8 @@ from .common import discard, slices, table, tidy, written
 
 SLOTS, SPANS, SMALL, FIRST, GROWTH = 1 << 21, 1 << 10, 16, (2, 16), 8
 #: Rows of a shingle that meet in a task at least, chosen classes that it holds at most, pairs of a class that make it hot,
-#: rows of a table that are broadcast at most, classes that a task remembers as named.
-BLOCK, PIVOTS, HOT, FEW, NAMED = 512, 1 << 15, 1 << 16, 1 << 18, 1 << 19
+#: rows of a table that are broadcast at most, classes that a task remembers as named, copies of a class that aren't hot.
+BLOCK, PIVOTS, HOT, FEW, NAMED, COPIES = 512, 1 << 15, 1 << 16, 1 << 18, 1 << 19, 1024
 BITS = 1 << 23
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -345,13 +345,13 @@ def large_groups(batches, num: int, den: int, block: int = 1 << 18):
                     yield as_pairs(p["cls"][i[ok]], g["cls"][j[ok]])
 
 
-def of_grams(rows: DataFrame, grams: DataFrame) -> DataFrame:
-    """rows of the shingles in grams, with the columns of grams. One shingle may have most rows: a table of at most FEW shingles
-    is broadcast, a larger one is joined over 64 parts of each shingle."""
-    if grams.count() <= FEW:
-        return rows.join(F.broadcast(grams), "gram")
-    parts = grams.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    return rows.withColumn("part", F.pmod(F.xxhash64("cls"), F.lit(64)).cast("int")).join(parts, ["gram", "part"]).drop("part")
+def looked_up(rows: DataFrame, of: DataFrame, key: str) -> DataFrame:
+    """rows (with a class each) whose key is in `of`, a written table, with its columns. One key may have most rows: a table of at
+    most FEW keys is broadcast, a larger one is joined over 64 parts of each key."""
+    if of.count() <= FEW:
+        return rows.join(F.broadcast(of), key)
+    parts = of.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    return rows.withColumn("part", F.pmod(F.xxhash64("cls"), F.lit(64)).cast("int")).join(parts, [key, "part"]).drop("part")
 
 
 def compared(rows: DataFrame, tested: int, first: int, num: int, den: int) -> DataFrame:
@@ -479,7 +479,7 @@ def candidates(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFram
     found = written(dealt.mapInArrow(tidy(lambda it: small_groups(it, num, den)), PAIR), "candidates")
     large = written(found.where("kind = 1").select("gram", F.col("a").alias("cls"), "n", "pos", "sig", "sig2").dropDuplicates(["gram", "cls"]), "large")
     grams = written(large.groupBy("gram").agg(F.count("*").alias("m")), "grams")
-    return rows, classes, found.where("kind = 0").select("a", "b"), of_grams(large, grams)
+    return rows, classes, found.where("kind = 0").select("a", "b"), looked_up(large, grams, "gram")
 
 
 def linked_classes(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -499,7 +499,7 @@ def linked_classes(docs: DataFrame, size: int, num: int, den: int) -> tuple[Data
         if grams.isEmpty():
             discard(large, near, sets)
             return rows, labels
-        was, large = large, written(of_grams(marked, grams), "large")
+        was, large = large, written(looked_up(marked, grams, "gram"), "large")
         discard(was, near, grams)
         near = near_enough(compared(large, tested, first, num, den), classes, num, den)
         if not near.isEmpty() and not (new := verified(near, sets, num, den)).isEmpty():
@@ -537,10 +537,16 @@ def join_links(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id
 def join_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id. Two rows link if den * intersection >= num * union."""
     rows, labels = linked_classes(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), size, num, den)
-    least = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("least")).join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    by_comp = least.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = least.select("cls", "comp").join(by_comp, "comp").select("cls", "component_id")
-    out = rows.join(named, "cls", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    least = written(rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("least"), F.count("*").alias("copies")), "least")
+    linked = least.join(labels, "cls")
+    by_comp = written(linked.groupBy("comp").agg(F.min("least").alias("component_id")), "components")
+    found = looked_up(linked, by_comp, "comp").select("cls", "component_id", F.lit(True).alias("found"))
+    named = least.join(found, "cls", "left").select("cls", "copies", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    named = written(named, "named")
+    # classes with very many copies are broadcast: fewer than FEW can have more than a FEWth of all rows
+    hot = F.broadcast(named.where(F.col("copies") > max(COPIES, rows.count() // FEW)).drop("copies"))
+    rest = rows.join(hot.select("cls"), "cls", "left_anti").join(named.drop("copies"), "cls", "left")
+    out = rest.unionByName(rows.join(hot, "cls")).select("id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumnRenamed("id", id_col)
 
 

@@ -139,7 +139,7 @@ def test_op4_deals_hot_shingles_and_classes_to_many_tasks(spark, monkeypatch):
     """With blocks, chosen classes and hot classes of a few rows each: the same components and links."""
     from lsmframe.llm import jaccard_join as j
 
-    for name, value in {"BLOCK": 5, "PIVOTS": 3, "HOT": 4, "FEW": 2, "NAMED": 3, "SMALL": 4, "FIRST": (2, 7)}.items():
+    for name, value in {"BLOCK": 5, "PIVOTS": 3, "HOT": 4, "FEW": 2, "NAMED": 3, "COPIES": 2, "SMALL": 4, "FIRST": (2, 7)}.items():
         monkeypatch.setattr(j, name, value)
     rng = random.Random(2)
     base = [f"w{k}" for k in range(60)]
@@ -150,6 +150,7 @@ def test_op4_deals_hot_shingles_and_classes_to_many_tasks(spark, monkeypatch):
             w[at] = f"x{rng.randrange(50)}"
         rows.append((k, " ".join(w)))
     rows += [(100 + k, "w0 w1 w2 " + " ".join(f"y{k}_{x}" for x in range(5))) for k in range(30)]
+    rows += [(200 + k, rows[k // 5][1]) for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted(((True, r.doc_id), r.n_shingles, r.component_id) for r in j.join_components(docs, 3, 90, 100).collect()) == brute(rows, 3, 90, 100)
     assert {r.doc_id: r.n_links for r in j.join_links(docs, 3, 90, 100).collect()} == {rows[k][0]: n for k, n in links_of([t for _, t in rows], 3, 90, 100).items()}
