@@ -11,6 +11,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -28,11 +30,22 @@ def byte_letters() -> dict[int, str]:
 
 
 LETTERS = byte_letters()
-#: Chunks and pieces that a generation of a worker's memory holds, some 200 bytes each.
-KEEP = 500_000
+#: Chunks that a generation of a worker's memory holds, some 200 bytes each.
+KEEP = 600_000
+
+
+#: Signs that end a word as a piece of their own.
+TAILS = frozenset(".,;:!?")
+
+
+def worded(chunk: str) -> bool:
+    """Whether a chunk is ASCII letters alone: one piece, in any split pattern of these files."""
+    return chunk.isascii() and chunk.isalpha()
 
 
 def spelled(piece: str) -> str:
+    if piece.isascii() and piece.isalnum():
+        return piece
     return "".join([LETTERS[b] for b in piece.encode()])
 
 
@@ -78,19 +91,28 @@ class WordIds:
         splits = [(x.get("type"), x.get("behavior"), x.get("use_regex")) for x in (j.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and splits == [("Split", "Removed", None), ("ByteLevel", None, False)] and not any(" " in x["content"] or "\n" in x["content"] for x in j["added_tokens"])
         self.special = re.compile("|".join(re.escape(x["content"]) for x in j["added_tokens"]) or r"(?!)")
+        self.by_word &= not any(worded(x["content"].rstrip("".join(TAILS))) for x in j["added_tokens"])
         self.model = self.tok.model
         self.known = Remembered(self.chunk, keep, 60)
-        self.pieces = Remembered(lambda p: self.packed([t.id for t in self.model.tokenize(spelled(p))]), keep, 40)
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return array(self.kind.char, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.kind).tobytes()
 
     def chunk(self, chunk: str) -> bytes:
+        """Ids of a chunk; its pieces are chunks of their own, unless it is one itself."""
+        known = self.known
+        if chunk[-1:] in TAILS and worded(chunk[:-1]):
+            return known[chunk[:-1]] + known[chunk[-1]] if len(chunk) > 1 else self.piece(chunk)
+        if worded(chunk):
+            return known[low] if (low := chunk.lower()) != chunk else self.piece(chunk)
         if PLAIN.match(chunk) and not self.special.search(chunk):
-            pieces = self.pieces
-            return b"".join([pieces[p] for p in WORD_PIECES.findall(chunk.lower())])
+            found = WORD_PIECES.findall(chunk.lower())
+            return self.piece(chunk) if found == [chunk] else b"".join([known[p] for p in found])
         return self.packed(self.tok.encode(chunk, add_special_tokens=False).ids)
 
+    def piece(self, piece: str) -> bytes:
+        return self.packed([t.id for t in self.model.tokenize(spelled(piece))])
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -110,15 +132,24 @@ class PieceCounts:
         pre = j.get("pre_tokenizer") or {}
         self.by_word = not j.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not any(re.search(r"\s", x["content"]) for x in j["added_tokens"])
         self.special = re.compile("|".join(re.escape(x["content"]) for x in j["added_tokens"]) or r"(?!)")
+        self.by_word &= not any(worded(x["content"].rstrip("".join(TAILS))) for x in j["added_tokens"])
         self.model = self.tok.model
-        self.pieces = Remembered(lambda p: len(self.model.tokenize(spelled(p))), keep, 40)
         self.known = Remembered(self.count, keep, 60)
 
     def count(self, unit: str) -> int:
-        """Pieces of a unit: a stretch that white space sets apart, with the one space or line end before it."""
+        """Pieces of a unit: a stretch that white space sets apart, with the one space or line end before it. Its pre-tokens are
+        units of their own, unless it is one itself."""
+        known, word = self.known, unit.removeprefix(" ")
+        if worded(word):
+            return self.piece(unit)
+        if word[-1:] in TAILS and worded(word[:-1]):
+            return known[unit[:-1]] + known[unit[-1]]
         if unit[0] == "\n" and unit[1:] and not unit[1].isspace() and not self.special.search(unit):
-            return 1 + self.count(unit[1:])
+            return known["\n"] + known[unit[1:]]
         if PLAIN.match(unit.lstrip(" ")) and unit[:2] != "  " and not self.special.search(unit):
-            pieces = self.pieces
-            return sum([pieces[p] for p in BYTE_PIECES.findall(unit)])
+            found = BYTE_PIECES.findall(unit)
+            return self.piece(unit) if found == [unit] else sum([known[p] for p in found])
         return len(self.tok.encode(unit, add_special_tokens=False).ids)
+
+    def piece(self, piece: str) -> int:
+        return len(self.model.tokenize(spelled(piece)))
