@@ -5,7 +5,7 @@ dictionary's sha256; the documents' zstandard frames; the offset index, per docu
 standing for null), frame offset, frame length and number of ids; and the index's own offset. A reader seeks to the index
 and decompresses only the document it needs. The dictionary file stands beside the shards, named by its hash.
 
-Shards hold ascending ids over disjoint ranges. Null ids come first, ties by text. Null or empty texts have only the end
+Shards hold ascending ids over disjoint ranges. Null ids come first, ties by the text's hash, then by text. Null or empty texts have only the end
 id. Repeated rows are stored as often as they come. No rows: no shards.
 """
 
@@ -119,7 +119,7 @@ class Shard:
 def write_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 2000, dict_bytes: int = 65_536, sample_bytes: int = 32_768, shard_size: int = 32 << 20, level: int = 3) -> DataFrame:
     """Writes the shards below root and returns the manifest: shard path, n_docs, n_ids, lo and hi id, part and number.
 
-    docs' rows are dealt by range of the id, so one shuffle moves the texts once. shard_size: bytes of ids, uncompressed.
+    docs' rows are dealt by range of the id and the text's hash, so one shuffle moves the texts once. shard_size: bytes of ids, uncompressed.
     """
     spark = docs.sparkSession
     docs = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
@@ -156,8 +156,9 @@ def write_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int, id_col
         if ids:
             yield flush()
 
-    # text is part of the range, so that very many rows of one id, or of none, don't meet in one task
-    rows = docs.repartitionByRange("id", "text").sortWithinPartitions("id", "text").mapInArrow(tidy(run), "path string, part int, number int, n_docs long, n_ids long, lo long, hi long")
+    # the text's hash is part of the range, so that very many rows of one id, or of none, don't meet in one task
+    order = [F.col("id"), F.xxhash64("text")]
+    rows = docs.repartitionByRange(*order).sortWithinPartitions(*order, "text").mapInArrow(tidy(run), "path string, part int, number int, n_docs long, n_ids long, lo long, hi long")
     made = written(rows, "manifest")
     return made.withColumn("dictionary", F.lit(name)).withColumn("start", F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
