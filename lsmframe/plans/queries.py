@@ -84,6 +84,17 @@ def bucket_ids(spark, sf_dir) -> DataFrame:
     return ids.select("page_id", directory.bucket_id(F.col("page_id"), 4).alias("bucket"))
 
 
+def page_insert(spark, sf_dir) -> DataFrame:
+    """Pages of the lower numbers, and then all pages: those that are there already stay one."""
+    names = page_names(spark, sf_dir)
+    return directory.insert(names.where("number < 4"), names)
+
+
+def page_remove(spark, sf_dir) -> DataFrame:
+    names = page_names(spark, sf_dir)
+    return directory.remove(names, names.where("level = 0"))
+
+
 def bucket_split(spark, sf_dir) -> DataFrame:
     return directory.split(page_names(spark, sf_dir), 4, 1, 40)
 
@@ -152,6 +163,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bloom_runs": bloom_runs,
     "bloom_probe": bloom_probe,
     "bucket_ids": bucket_ids,
+    "page_insert": page_insert,
+    "page_get": lambda s, d: directory.get(page_names(s, d), "db/sst_1.dat-2", 4),
+    "page_remove": page_remove,
     "bucket_split": bucket_split,
     "bucket_merge": lambda s, d: directory.merge(bucket_split(s, d), 6),
     "directory_counters": lambda s, d: directory.counters(bucket_split(s, d), 1),
@@ -182,10 +196,18 @@ _STORED = f"{_VERSIONS}, y AS (SELECT * FROM v WHERE NOT (op = 'D' AND level >=
 _NEWEST = f"{_VERSIONS}, w AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY level) AS q FROM v WHERE level >= 0), b AS (SELECT key, value FROM w WHERE q = 1 AND op = 'P')"
 
 
+#: The five primes of XXH64.
+PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def _u(x: int) -> str:
+    return f"{x}::UHUGEINT"
+
+
 def _hashed(keys: str, hashes: str) -> str:
     """CTEs: h0(key, bits, h) from rows (key, bits) of `keys`, h being XXH64 of a 4-byte key under the seeds `hashes`, unsigned."""
-    u = lambda x: f"{x}::UHUGEINT"
-    two64, p1, p2, p3, p5 = map(u, (1 << 64, 11400714785074694791, 14029467366897019727, 1609587929392839161, 2870177450012600261))
+    u = _u
+    two64, p1, p2, p3, _, p5 = map(u, (1 << 64, *PRIMES))
     return f"""e AS (SELECT DISTINCT key, bits, s FROM ({keys}) z, {hashes} t(s)),
 e1 AS (SELECT key, bits, s, xor((s::UHUGEINT + {p5} + {u(4)}) % {two64}, (key::UHUGEINT * {p1}) % {two64}) AS h FROM e),
 e2 AS (SELECT key, bits, s, (((h * {u(1 << 23)}) % {two64} + h // {u(1 << 41)}) * {p2} % {two64} + {p3}) % {two64} AS h FROM e1),
@@ -194,8 +216,39 @@ e4 AS (SELECT key, bits, s, xor(h, h // {u(1 << 29)}) * {p3} % {two64} AS h FROM
 h0 AS (SELECT key, bits, s, CAST(xor(h, h // {u(1 << 32)}) % bits::UHUGEINT AS INTEGER) AS position FROM e4)"""
 
 
+def _hashed_names(names: str) -> str:
+    """CTEs: hn(page_id, h) from the distinct page_id of the table `names`, ASCII of 8 to 31 characters, h being XXH64 under seed 0."""
+    two64, p1, p2, p3, p4, p5 = map(_u, (1 << 64, *PRIMES))
+    number = lambda at, width: "(" + " + ".join(f"ascii(substr(page_id, CAST({at} + {k + 1} AS BIGINT), 1))::UHUGEINT * {_u(256**k)}" for k in range(width)) + ")"
+    turned = lambda x, r: f"(({x} * {_u(1 << r)}) % {two64} + {x} // {_u(1 << (64 - r))})"
+    out = [f"n0 AS (SELECT DISTINCT page_id, length(page_id) AS n, {p5} + length(page_id)::UHUGEINT AS h FROM {names})"]
+
+    def step(when: str, h: str) -> None:
+        out.append(f"n{len(out)} AS (SELECT page_id, n, CASE WHEN {when} THEN {h} ELSE h END AS h FROM n{len(out) - 1})")
+
+    for k in range(3):
+        lane = f"({number(8 * k, 8)} * {p2} % {two64})"
+        step(f"n >= {8 * k + 8}", f"xor(h, {turned(lane, 31)} * {p1} % {two64})")
+        step(f"n >= {8 * k + 8}", f"({turned('h', 27)} * {p1} + {p4}) % {two64}")
+    step("n % 8 >= 4", f"xor(h, {number('n // 8 * 8', 4)} * {p1} % {two64})")
+    step("n % 8 >= 4", f"({turned('h', 23)} * {p2} + {p3}) % {two64}")
+    for k in range(3):
+        step(f"n % 4 > {k}", f"xor(h, {number(f'n // 4 * 4 + {k}', 1)} * {p5} % {two64})")
+        step(f"n % 4 > {k}", f"{turned('h', 11)} * {p1} % {two64}")
+    step("true", f"xor(h, h // {_u(1 << 33)}) * {p2} % {two64}")
+    step("true", f"xor(h, h // {_u(1 << 29)}) * {p3} % {two64}")
+    return ",\n".join([*out, f"hn AS (SELECT page_id, xor(h, h // {_u(1 << 32)}) AS h FROM n{len(out) - 1})"])
+
+
 _LEAVES = "g AS (SELECT o_orderkey AS key, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 508 AS INTEGER) AS leaf_no FROM (SELECT DISTINCT o_orderkey FROM orders)), f AS (SELECT leaf_no, count(*) AS num_keys, min(key) AS min_key, max(key) AS max_key FROM g GROUP BY leaf_no)"
 _NODES = lambda f: f"CASE WHEN n = 0 THEN 0 ELSE n + ceil(n / {f}.0) + CASE WHEN ceil(n / {f}.0) > 1 THEN ceil(n / {f ** 2}.0) ELSE 0 END + CASE WHEN ceil(n / {f ** 2}.0) > 1 THEN ceil(n / {f ** 3}.0) ELSE 0 END + CASE WHEN ceil(n / {f ** 3}.0) > 1 THEN ceil(n / {f ** 4}.0) ELSE 0 END END"
+_PAGES = f"{_LEAVES}, t AS (SELECT count(*) AS n FROM f), pg AS (SELECT 'db/sst_' || (leaf_no % 7) || '.dat-' || CAST({_NODES(FANOUT)} - leaf_no AS INTEGER) AS page_id, CAST(leaf_no % 7 AS INTEGER) AS number, CAST((leaf_no % 7) // 2 AS INTEGER) AS level FROM f, t)"
+_NAMED = f"{_PAGES}, {_hashed_names('pg')}"
+#: The low d bits of h as text; a page's bucket is the shallowest that it shares with at most three others.
+_LOW = lambda d: f"right(CAST(CAST(CAST(h % {_u(1 << 40)} AS BIGINT) AS BIT) AS VARCHAR), CAST({d} AS INTEGER))"
+_SPLIT = f"""{_NAMED}, dc AS (SELECT d, {_LOW('d')} AS bucket, count(*) AS pages FROM hn, range(1, 41) r(d) GROUP BY ALL),
+dp AS (SELECT page_id, min(dc.d) AS d FROM hn, dc WHERE dc.bucket = {_LOW('dc.d')} AND (dc.pages <= 4 OR dc.d = 40) GROUP BY page_id),
+sp AS (SELECT {_LOW('d')} AS bucket, CAST(d AS INTEGER) AS local_depth, count(*) AS pages FROM dp JOIN hn USING (page_id) GROUP BY ALL)"""
 _BITS = "CAST(i >> 3 & 1 AS VARCHAR) || CAST(i >> 2 & 1 AS VARCHAR) || CAST(i >> 1 & 1 AS VARCHAR) || CAST(i & 1 AS VARCHAR)"
 
 ORACLE: dict[str, str] = {
@@ -220,7 +273,16 @@ ORACLE: dict[str, str] = {
     "node_count": f"WITH {_LEAVES}, t AS (SELECT count(*) AS n FROM f) SELECT n AS leaves, CAST({_NODES(FANOUT)} AS BIGINT) AS nodes, CAST({_NODES(SMALL_FANOUT)} AS BIGINT) AS nodes_small FROM t",
     "internal_fences": f"WITH {_LEAVES} SELECT CAST(leaf_no // {SMALL_FANOUT} AS INTEGER) AS node_no, count(*) AS children, max(max_key) AS fence FROM f GROUP BY 1",
     "fence_lookup": f"WITH {_LEAVES}, k AS (SELECT DISTINCT c_custkey * 97 AS key FROM customer) SELECT k.key, (SELECT min(leaf_no) FROM f WHERE max_key >= k.key) AS leaf_no FROM k",
-    "page_ids": f"WITH {_LEAVES}, t AS (SELECT count(*) AS n FROM f) SELECT 'db/sst_' || (leaf_no % 7) || '.dat-' || CAST({_NODES(FANOUT)} - leaf_no AS INTEGER) AS page_id, CAST(leaf_no % 7 AS INTEGER) AS number, CAST((leaf_no % 7) // 2 AS INTEGER) AS level FROM f, t",
+    "page_ids": f"WITH {_PAGES} SELECT * FROM pg",
+    "page_insert": f"WITH {_PAGES} SELECT DISTINCT page_id FROM pg",
+    "page_get": f"WITH {_NAMED} SELECT page_id, {_LOW(4)} AS bucket FROM hn WHERE page_id = 'db/sst_1.dat-2'",
+    "page_remove": f"WITH {_PAGES} SELECT DISTINCT page_id FROM pg WHERE level <> 0",
+    "bucket_ids": f"WITH {_NAMED} SELECT page_id, {_LOW(4)} AS bucket FROM pg JOIN hn USING (page_id)",
+    "bucket_split": f"WITH {_SPLIT} SELECT * FROM sp",
+    "bucket_merge": f"""WITH {_SPLIT}, pr AS (SELECT local_depth, substr(bucket, 2) AS parent, sum(pages) AS both FROM sp GROUP BY 1, 2 HAVING count(*) = 2 AND sum(pages) <= 6)
+SELECT DISTINCT coalesce(pr.parent, bucket) AS bucket, CAST(sp.local_depth - CASE WHEN pr.parent IS NULL THEN 0 ELSE 1 END AS INTEGER) AS local_depth, CAST(coalesce(pr.both, pages) AS BIGINT) AS pages
+FROM sp LEFT JOIN pr ON pr.local_depth = sp.local_depth AND pr.parent = substr(bucket, 2)""",
+    "directory_counters": f"WITH {_SPLIT} SELECT greatest(1, max(local_depth)) AS global_depth, CAST(sum(pages) AS BIGINT) AS size, CAST(2 ** greatest(1, max(local_depth)) AS BIGINT) AS num_directory, count(*) AS num_buckets FROM sp",
     "bloom_params": f"WITH {_PLACED}, q AS (SELECT level, count(DISTINCT key) AS keys FROM p WHERE level >= 0 GROUP BY level) SELECT level, CAST(least(5 * ceil(keys / 508.0), 4088) AS INTEGER) AS bits, CAST(round(ln(2) * 5) AS INTEGER) AS hashes, CAST(least(15 * keys, 4088) AS INTEGER) AS bits_by_key, CAST(round(ln(2) * 15) AS INTEGER) AS hashes_by_key FROM q",
     "bloom_runs": f"WITH {_VERSIONS}, n0 AS (SELECT level, CAST(least(15 * count(*), 4088) AS INTEGER) AS bits FROM v WHERE level >= 0 GROUP BY level), {_hashed('SELECT v.key, n0.bits FROM v JOIN n0 USING (level)', 'range(10)')} SELECT DISTINCT v.level, n0.bits AS total_bits, h0.position FROM v JOIN n0 USING (level) JOIN h0 ON h0.key = v.key AND h0.bits = n0.bits",
     "bloom_probe": f"WITH {_hashed('SELECT user_id AS key, 4088 AS bits FROM events UNION ALL SELECT c_custkey, 4088 FROM customer', 'range(3)')}, o AS (SELECT DISTINCT position FROM h0 WHERE key IN (SELECT user_id FROM events)) SELECT key, bool_and(position IN (SELECT position FROM o)) AS maybe FROM h0 WHERE key IN (SELECT c_custkey FROM customer) GROUP BY key",
