@@ -40,6 +40,8 @@ SLOTS, SPANS, SMALL, FIRST, GROWTH = 1 << 21, 1 << 10, 16, (2, 16), 8
 #: rows of a table that are broadcast at most, classes that a task remembers as named, copies of a class that aren't hot.
 BLOCK, PIVOTS, HOT, FEW, NAMED, COPIES = 512, 1 << 15, 1 << 16, 1 << 18, 1 << 19, 1024
 BITS = 1 << 23
+#: Bytes of a text whose words are hashed together.
+PART = 1 << 19
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,7 +68,8 @@ class Words:
     """Hashes of words and shingles of a text, in a few passes over its bytes.
 
     A word's hash is a polynomial in BASE over its bytes' values, a difference of running sums divided by a power of BASE,
-    which is odd and so has an inverse modulo 2^64. The tables of powers grow with the longest text.
+    which is odd and so has an inverse modulo 2^64. A text is taken in parts of whole words of at most PART bytes, so tables of
+    powers and running sums are bounded; a longer word is a part of its own.
     """
 
     def __init__(self, size: int = 1 << 15):
@@ -77,6 +80,22 @@ class Words:
 
     def hashes(self, text: str | None) -> np.ndarray:
         raw = np.frombuffer((text or "").encode(), np.uint8)
+        if len(raw) <= PART:
+            return self.of_part(raw)
+        spaces, out, at = np.flatnonzero(_SPACE[raw]), [], 0
+        while at < len(raw):
+            k = int(np.searchsorted(spaces, at + PART, "right"))
+            if len(raw) - at <= PART:
+                end = len(raw)
+            elif k and spaces[k - 1] > at:
+                end = int(spaces[k - 1])
+            else:
+                end = int(spaces[k]) if k < len(spaces) else len(raw)
+            out.append(self.of_part(raw[at:end]))
+            at = end
+        return np.concatenate(out)
+
+    def of_part(self, raw: np.ndarray) -> np.ndarray:
         if len(raw) > len(self.up):
             self.grow(2 * len(raw))
         word = np.concatenate([[False], ~_SPACE[raw], [False]])

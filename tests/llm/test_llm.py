@@ -179,6 +179,16 @@ def test_op4_components_as_brute_force(spark, docs, empty, size, num):
         assert join_components(empty).count() == 0
 
 
+def test_op4_hashes_long_texts_in_parts_alike(monkeypatch):
+    from lsmframe.llm import jaccard_join as j
+
+    texts = ["a b  c\t" * 50, "x" * 300, " " * 300, "y" * 90 + " z" * 60 + " ", "é" * 40 + " " + "w" * 200 + "\n q", *ODD]
+    want = [j.Words().hashes(t).tolist() for t in texts]
+    monkeypatch.setattr(j, "PART", 64)
+    words = j.Words(8)
+    assert [words.hashes(t).tolist() for t in texts] == want
+
+
 def test_op4_groups_over_batches_lose_no_pair():
     """However the rows fall into batches, small groups give all their pairs and large ones all their rows."""
     import numpy as np
