@@ -5,7 +5,7 @@ them. `interleave` makes one row per item; positions count text and media togeth
 Payloads are stored as 8-bit greyscale PNG images of WIDTH samples a row, named by digest: a task stores a payload once, as
 long as it has met fewer than SEEN others since, so several tasks may store equal copies, of which `media_features` takes
 one. `resolve` joins references with what was read back from the stored bytes; only digests and small columns are shuffled
-there.
+there. References that very many items share, or that are null, are looked up without a shuffle.
 
 Null and empty texts have an empty payload, stored as one padded row. Null HTML gives no items. References without a stored
 payload keep nulls. Repeated rows each have their row; ids may be null; an empty table gives no rows.
@@ -29,6 +29,8 @@ from .common import slices, table, text_list, tidy, written
 WIDTH, PAD = 576, 255
 #: Digests that a task remembers as stored.
 SEEN = 200_000
+#: Items of a reference that are dealt by it at most, and references above that which are broadcast at most.
+COPIES, FEW = 1024, 1 << 16
 MEDIA_TAGS = {"img": "image", "audio": "audio", "video": "video"}
 SKIPPED = {"script", "style", "template"}
 #: What may stand in a head without ending it, and which of them hold text.
@@ -270,8 +272,15 @@ def media_features(media: DataFrame) -> DataFrame:
 def resolve(pages: DataFrame, features: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per media item of every page: id, the columns of `keep`, position, caption, ref and its payload's columns (null
     if not stored)."""
-    refs = interleave(pages, id_col, html_col, keep).select(id_col, *keep, F.explode("items").alias("item")).where("item.kind <> 'text'").select(id_col, *keep, "item.position", "item.caption", "item.ref")
-    return refs.join(features, "ref", "left")
+    items = interleave(pages, id_col, html_col, keep).select(id_col, *keep, F.explode("items").alias("item")).where("item.kind <> 'text'")
+    refs = written(items.select(id_col, *keep, "item.position", "item.caption", "item.ref"), "references")
+    # fewer than FEW references can have more than a FEWth of all items
+    shared = F.col("n") > max(COPIES, refs.count() // FEW)
+    hot = F.broadcast(written(refs.groupBy("ref").agg(F.count("*").alias("n")).where(shared & F.col("ref").isNotNull()).select("ref"), "hot"))
+    alone = F.col("ref").isNull()
+    rest = refs.where(~alone).join(hot, "ref", "left_anti").join(features, "ref", "left")
+    many = refs.where(~alone).join(hot, "ref", "left_semi").unionByName(refs.where(alone))
+    return rest.unionByName(many.join(F.broadcast(features.join(hot, "ref", "left_semi")), "ref", "left"))
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -630,6 +630,17 @@ def test_op3_parses_ordinary_pages():
     assert refs('<html><head><title>t</title><p>one<figure><img src=r><figcaption>cap') == [("text", "one", None), ("image", "r", "cap")]
 
 
+def test_op3_looks_up_shared_and_missing_references(spark, monkeypatch):
+    from lsmframe.llm import media
+
+    monkeypatch.setattr(media, "COPIES", 3)
+    html = ['<img src="a">'] * 6 + ['<img src="b">', '<img src="gone">', None, "<img>", "<p>t</p>"] + ['<img src="lost">'] * 5
+    pages = spark.createDataFrame(list(enumerate(html)), "page_id long, html string")
+    features = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "ref string, payload_bytes int")
+    got = sorted((r.page_id, r.ref, r.payload_bytes) for r in media.resolve(pages, features).collect())
+    assert got == [*((k, "a", 1) for k in range(6)), (6, "b", 2), (7, "gone", None), (9, None, None), *((k, "lost", None) for k in range(11, 16))]
+
+
 def test_op3_every_column_by_plain_python(spark):
     import numpy as np
 
