@@ -18,7 +18,8 @@
 
 A class in very many pairs (HOT) has them dealt to several tasks, to each of which its set goes.
 
-Components come from label propagation with pointer jumping over tables in the shared folder.
+Components of at most FEW links are found in one task, those of more by label propagation with pointer jumping over tables in
+the shared folder.
 
 Null and empty texts, or texts without words, have 0 shingles and are linked with nothing. Ids may be null or repeated: a
 row is a document, null ids don't count for a component's smallest id, and a component of null ids only has null. An empty
@@ -470,11 +471,39 @@ def verified(near: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return links
 
 
+def lowest(batches):
+    """(cls, comp) of every class in all links (a, b) of the batches, which are held together. Classes are numbered in order of
+    their names; turns hang the root of a link's higher class below that of the lower one, until both are the same."""
+    links = [np.concatenate([unnamed(b.column(0)), unnamed(b.column(1))], axis=1) for b in batches if len(b)]
+    if not links:
+        return
+    names = np.concatenate([x.reshape(-1, 2) for x in links])
+    high, low = names.view(">u8").astype(np.uint64).T
+    order = np.lexsort((low, high))
+    names = names[order]
+    first = np.concatenate([[True], (names[1:] != names[:-1]).any(axis=1)])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(first) - 1
+    names, (x, y) = names[first], number.reshape(-1, 2).T
+    root = np.arange(len(names))
+    while (apart := root[x] != root[y]).any():
+        x, y = x[apart], y[apart]
+        np.minimum.at(root, np.maximum(root[x], root[y]), np.minimum(root[x], root[y]))
+        while ((up := root[root]) != root).any():
+            root = up
+    for at in range(0, len(names), HOT):
+        yield pa.RecordBatch.from_arrays([named(names[at : at + HOT]), named(names[root[at : at + HOT]])], ["cls", "comp"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(cls, comp) of every class in links; comp is the least class name of its component.
 
-    Each turn takes the least label among neighbours, then the label's own label; it ends when no label changes.
+    At most FEW links, 32 bytes each, are one task's work: turns over tables would be some ten jobs each, whose plans and
+    tasks the driver keeps. Of more, each turn takes the least label among neighbours, then the label's own label; it ends
+    when no label changes.
     """
+    if links.count() <= FEW:
+        return written(links.select("a", "b").repartition(1).mapInArrow(tidy(lowest), "cls binary, comp binary"), "labels")
     edges = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("cls"), F.col("b").alias("to"))
     labels = written(edges.groupBy("cls").agg(F.min("to").alias("to")).select("cls", F.least("cls", "to").alias("comp")), "labels")
     while True:

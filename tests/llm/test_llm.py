@@ -156,6 +156,25 @@ def test_op4_deals_hot_shingles_and_classes_to_many_tasks(spark, monkeypatch):
     assert {r.doc_id: r.n_links for r in j.join_links(docs, 3, 90, 100).collect()} == {rows[k][0]: n for k, n in links_of([t for _, t in rows], 3, 90, 100).items()}
 
 
+def test_op4_components_of_few_links_take_few_jobs(spark, monkeypatch):
+    """A chain, a star, a pair named twice: as many jobs for any length of a chain, and the labels of the turns over tables."""
+    from lsmframe.llm import jaccard_join as j
+
+    name = [hashlib.md5(str(k).encode()).digest() for k in range(260)]  # noqa: S324
+    groups = [range(200), range(200, 250), range(250, 252), range(252, 254)]
+    pairs = [*zip(range(199), range(1, 200), strict=True), *((200, k) for k in range(201, 250)), (250, 251), (250, 251), (252, 253)]
+    want = {bytes(name[k]): bytes(min(name[i] for i in g)) for g in groups for k in g}
+    links = spark.createDataFrame([tuple(sorted((bytearray(name[a]), bytearray(name[b])))) for a, b in pairs], "a binary, b binary")
+    found = lambda: {bytes(r.cls): bytes(r.comp) for r in j.components(links).collect()}
+    spark.sparkContext.setJobGroup("few links", "")
+    assert found() == want
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links")) <= 8
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert not j.components(links.limit(0)).count()
+    monkeypatch.setattr(j, "FEW", 10)
+    assert found() == want
+
+
 @pytest.mark.parametrize(("size", "num"), [(3, 90), (5, 80)])
 def test_op4_components_as_brute_force(spark, docs, empty, size, num):
     from lsmframe.llm.jaccard_join import join_components, join_links
