@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. The first four return the columns
 of documents; the last returns the packed pieces. A null text is an empty one; it has no language and goes in the first
-stage. Empty tables pass through.
+stage. Empty tables pass through. Executors live on from stage to stage, so each stage has them shed the heap of the one before.
 """
 
 from __future__ import annotations
@@ -10,26 +10,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lsmframe.llm import decontamination, jaccard_join, language_id, packing, quality
-from lsmframe.llm.common import discard, table, written
+from lsmframe.llm.common import discard, shed, table, written
 
 
 def recognised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shed(spark)
     return language_id.stage(spark, docs, sf_dir)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shed(spark)
     return quality.stage(spark, docs, sf_dir)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shed(spark)
     return jaccard_join.stage(spark, docs, sf_dir)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shed(spark)
     return decontamination.stage(spark, docs, sf_dir)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shed(spark)
     return packing.stage(spark, docs, sf_dir)
 
 

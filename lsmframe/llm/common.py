@@ -1,4 +1,5 @@
-"""What the operators share: reading tables, intermediate tables, slices of bounded size, names that clash with none."""
+"""What the operators share: reading tables, intermediate tables, slices of bounded size, memory handed back, names that clash
+with none."""
 
 from __future__ import annotations
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import discard, scratch, shared_dir, written
 
-__all__ = ["crc_mod", "discard", "free_name", "scratch", "shared_dir", "slices", "table", "text_list", "tidy", "written"]
+__all__ = ["crc_mod", "discard", "free_name", "scratch", "shared_dir", "shed", "slices", "table", "text_list", "tidy", "written"]
 
 #: Bytes of text that a Python worker turns into strings at once, unless one text is longer.
 SLICE = 2 << 20
@@ -56,6 +57,15 @@ def release() -> None:
         libc.malloc_trim(0)
 
 
+def shed(spark: SparkSession) -> None:
+    """Has executors' JVMs hand unused heap back to the system: they keep the heap that earlier work needed until all of it is
+    collected at once, and Python workers beside them need room. A task for each core, so every executor that is idle gets some;
+    one that gets none only keeps its heap."""
+    sc = spark.sparkContext
+    n = 1 if sc.master.split("[")[0] == "local" else sc.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).collect()
+
+
 def text_list(column) -> list[str]:
     """An Arrow string column as str, null as the empty text."""
     return [x or "" for x in column.to_pylist()]

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, slices, table, tidy, written
+from .common import discard, shed, slices, table, tidy, written
 
 SLOTS, SPANS, SMALL, FIRST, GROWTH = 1 << 21, 1 << 10, 16, (2, 16), 8
 #: Rows of a shingle that meet in a task at least, chosen classes that it holds at most, pairs of a class that make it hot,
@@ -523,10 +523,12 @@ def candidates(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFram
     """(id, n, cls) per row; the classes; pairs of classes that share a shingle of at most SMALL classes; and the prefix rows
     (gram, cls, n, pos, sig, sig2, m) of the other shingles, m being their number of classes."""
     rows, classes, counts = describe(docs, size)
+    shed(docs.sparkSession)
     dealt = prefixes(docs, size, levels(counts), num, den).repartition("gram").sortWithinPartitions("gram", "pos", "n", "cls")
     found = written(dealt.mapInArrow(tidy(lambda it: small_groups(it, num, den)), PAIR), "candidates")
     large = written(found.where("kind = 1").select("gram", F.col("a").alias("cls"), "n", "pos", "sig", "sig2").dropDuplicates(["gram", "cls"]), "large")
     grams = written(large.groupBy("gram").agg(F.count("*").alias("m")), "grams")
+    shed(docs.sparkSession)
     return rows, classes, found.where("kind = 0").select("a", "b"), looked_up(large, grams, "gram")
 
 

@@ -1,5 +1,6 @@
 """Operators against the libraries, brute force and round trips, on small tables with nulls, repeats and odd texts."""
 
+import gc
 import hashlib
 import random
 import zlib
@@ -450,6 +451,28 @@ def test_pipeline_stages(spark):
     assert c.STAGES[-1][1](spark, docs.where("false"), DATA).count() == 0
 
 
+def test_pipeline_stages_shed_heap(spark):
+    """Every stage begins with a full collection, and the n-gram join has two more: what a JVM holds doesn't outlive its use."""
+    import corpus_pipeline as c
+    from lsmframe.llm.common import shed, table
+
+    jvm = spark._jvm
+    full = lambda: sum(b.getCollectionCount() for b in jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = table(spark, DATA, "documents").limit(20)
+    for name, stage in c.STAGES:
+        before = full()
+        stage(spark, docs, DATA)
+        assert full() - before >= (3 if name == "n-gram Jaccard join" else 1), name
+
+    heap = jvm.java.lang.Runtime.getRuntime()
+    held = [spark.sparkContext._gateway.new_array(jvm.byte, 100 << 20) for _ in range(4)]
+    grown = heap.totalMemory() - heap.freeMemory()
+    del held
+    gc.collect()
+    shed(spark)
+    assert heap.totalMemory() - heap.freeMemory() < grown - (300 << 20)
+
+
 def test_language_sample_is_the_first_by_hash(spark):
     from pyspark.sql import functions as F
 
